@@ -1,15 +1,360 @@
-"""The registered queries of the engine, and the SQL that must give the same rows."""
+"""The registered queries of the engine over the driver's tables; plans.oracle has the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.functions.text import content_hash, jaccard, minhash_signature, minhash_similarity, normalize_whitespace, sentences, shingles, truncate, words
+from textloom.models import FINDINGS
+from textloom.operators import content, duplicates, fragmentation, headings, stats, tables
+from textloom.operators.chunking import chunk_documents, given_chunks, indexed
+from textloom.operators.simjoin import minhash_pairs
+from textloom.plans import oracle, postfilter
+from textloom.scoring import health
+from textloom.session import ship
+from textloom.sources.files import csv_column, html_column, json_column
+from textloom.sources.formats import disabled_rules
+from textloom.sources.frames import chunks_frame, documents_frame
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+LARGE_CHARS, LARGE_TOKENS = 1000, 300
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_frame(table(spark, sf_dir, "documents"))
+
+
+def unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_documents(documents(spark, sf_dir))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(unindexed(spark, sf_dir))
+
+
+@query
+def chunk_documents_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("chunk_id", "doc_key", "doc_index", "index", "char_count", "char_start", "char_end", "start_line", "end_line", F.md5("text").alias("digest"))
+
+
+@query
+def chunk_size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.size_distribution(unindexed(spark, sf_dir))
+
+
+@query
+def token_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.size_distribution(unindexed(spark, sf_dir), "token_estimate")
+
+
+@query
+def chunk_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.size_histogram(unindexed(spark, sf_dir))
+
+
+@query
+def word_and_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unindexed(spark, sf_dir).select("doc_key", "doc_index", "word_count", "token_estimate")
+
+
+@query
+def oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unindexed(spark, sf_dir).where(stats.oversized(LARGE_CHARS)).select("chunk_id", "char_count")
+
+
+@query
+def undersized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unindexed(spark, sf_dir).where(stats.undersized(200)).select("chunk_id", "char_count")
+
+
+@query
+def over_token_limit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unindexed(spark, sf_dir).where(stats.over_tokens(LARGE_TOKENS)).select("chunk_id", "token_estimate")
+
+
+@query
+def first_undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 places that a report lists."""
+    return chunks(spark, sf_dir).where(stats.undersized(200)).orderBy("index").limit(20).select("index", "chunk_id", "char_count", "start_line")
+
+
+@query
+def chunk_overlap_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.overlap_pct(unindexed(spark, sf_dir)).select(F.round("overlap_pct", 6).alias("overlap_pct"))
+
+
+@query
+def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.exact_groups(chunks(spark, sf_dir))
+
+
+@query
+def canonical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.exact_members(chunks(spark, sf_dir)).select("first_index", "index", "chunk_id", "canonical")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.near_pairs(chunks(spark, sf_dir).persist())
+
+
+@query
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"), "n_a", "n_b")
+
+
+@query
+def top_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 pairs of chunks that a report lists."""
+    own = chunks(spark, sf_dir).persist()
+    pairs = duplicates.expanded_pairs(own, duplicates.near_pairs(own)).withColumn("similarity", F.round("similarity", 6))
+    return pairs.orderBy(F.desc("similarity"), "i", "j").limit(20)
+
+
+@query
+def duplicate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = chunks(spark, sf_dir).persist()
+    m = duplicates.duplicate_metrics(own, duplicates.near_pairs(own))
+    return m.select("exact_groups", "exact_duplicate_chunks", "near_pairs", F.round(100.0 * F.col("duplicated") / F.col("nonblank"), 6).alias("duplicate_pct"))
+
+
+@query
+def minhash_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_pairs(chunks(spark, sf_dir).select(F.col("index").alias("id"), "text"))
+
+
+@query
+def table_boundary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.broken_boundaries(chunks(spark, sf_dir)).select("before_id", "chunk_id", "before_line", "start_line")
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a markdown document: a heading by turn and role, then the turn's text."""
+    turns = table(spark, sf_dir, "conversations")
+    part = F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
+    merged = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "").alias("text"))
+    return documents_frame(merged, kind="markdown")
+
+
+@query
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.headings(_markdown(spark, sf_dir)).select("doc_key", "ord", "level", "title")
+
+
+@query
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _markdown(spark, sf_dir)
+    own = indexed(chunk_documents(docs, 200, 0))
+    spans = headings.sections(docs, own)
+    return spans.groupBy("doc_key").agg(F.count("*").alias("sections"), F.sum("span").cast("long").alias("assigned"), F.max("span").cast("long").alias("longest"))
+
+
+@query
+def secrets_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.by_kind(content.secrets(unindexed(spark, sf_dir)))
+
+
+@query
+def pii_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.by_kind(content.pii(unindexed(spark, sf_dir)))
+
+
+@query
+def pii_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.pii(unindexed(spark, sf_dir)).select("chunk_id", "kind", "n")
+
+
+@query
+def encoding_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On documents as a decoder for another character set would have left them."""
+    broken = unindexed(spark, sf_dir).withColumn("text", F.replace(F.col("text"), F.lit("é"), F.lit("Ã©")))
+    return content.by_kind(content.encoding_issues(broken))
+
+
+@query
+def placeholder_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = unindexed(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\b(?:the|der|que)\b", "TODO"))
+    return content.placeholders(marked).select("chunk_id", F.col("n").cast("long").alias("n"))
+
+
+@query
+def entity_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragmentation.occurrences(chunks(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("chunks"), F.min("index").alias("first"), F.max("index").alias("last"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragmentation.entity_fragmentation(chunks(spark, sf_dir))
+
+
+@query
+def entity_fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select("entity", "chunks", F.round("fragmentation", 6).alias("fragmentation"))
+
+
+@query
+def fragmentation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragmentation.fragmentation_index(_entities(spark, sf_dir)).select(F.round("cfi", 6).alias("cfi"), "repeated")
+
+
+@query
+def top_fragmented_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragmentation.top_entities(_entities(spark, sf_dir).select("entity", "chunks", F.round("fragmentation", 9).alias("fragmentation")))
+
+
+@query
+def html_to_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", html_column(F.col("html")).alias("text"))
+
+
+@query
+def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, own = chunks_frame(table(spark, sf_dir, "conversations"), "conv_id", "turn", name="conv")
+    return own.select("chunk_id", "index", "doc_index", "char_count", "token_estimate")
+
+
+@query
+def json_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON containers, and their texts out of these again."""
+    ship(spark)
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content")))).alias("chunks"))
+    made = turns.select("conv_id", F.to_json(F.struct("chunks")).alias("j"))
+    return made.select("conv_id", F.posexplode(json_column(F.col("j"))).alias("ord", "text")).select("conv_id", F.col("ord").cast("long").alias("ord"), F.md5("text").alias("digest"))
+
+
+@query
+def csv_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a CSV file for each region, and its rows as chunks."""
+    ship(spark)
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("r"), "n_nationkey")
+    made = rows.groupBy("n_regionkey").agg(F.concat(F.lit("key,name\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "r"))), lambda x: x["r"]), "\n")).alias("csv"))
+    texts = made.select(F.col("n_regionkey").cast("long").alias("doc_key"), F.posexplode(csv_column(F.col("csv"))).alias("doc_index", "text"))
+    return given_chunks(texts.withColumn("source_file", F.concat(F.lit("region-"), F.col("doc_key").cast("string"), F.lit(".csv")))).select("chunk_id", "text", "char_count")
+
+
+@query
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", content_hash(t).alias("content_hash"), truncate(t, 80).alias("preview"), F.length(normalize_whitespace(t)).cast("long").alias("flat_chars"), F.size(sentences(t)).cast("long").alias("sentences"), F.size(F.array_distinct(words(t))).cast("long").alias("distinct_words"))
+
+
+@query
+def set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item against the next: Jaccard, and its estimate from signatures of equal sets."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", shingles(F.col("text"), 2).alias("s"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
+    same = minhash_similarity(minhash_signature(F.col("s")), minhash_signature(F.reverse("s")))
+    return items.join(after, "item_id").select("item_id", F.round(jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"), same.alias("self_similarity"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, documents): a finding for each document and rule, with directives by source."""
+    docs = table(spark, sf_dir, "documents")
+    off = F.when(F.col("source") == "src3", F.array(F.lit("*"))).when(F.col("source") == "src7", F.array(F.lit("CTX008"))).otherwise(F.array().cast("array<string>"))
+    listed = docs.select(F.col("doc_id").alias("doc_key"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), "source", off.alias("disabled_rules"))
+    own = unindexed(spark, sf_dir)
+    kinds = (("CTX002", "warning", own.where(stats.undersized(200)).select("doc_key")), ("CTX007", "error", content.secrets(own).select("doc_key")), ("CTX008", "warning", content.pii(own).select("doc_key")))
+    none, table_ = F.lit(""), None
+    for seq, (rule, severity, rows) in enumerate(kinds):
+        place = F.struct(F.concat(F.lit("doc-"), F.col("doc_key").cast("string")).alias("file"), F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("detail"))
+        part = rows.distinct().select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), none.alias("message"), none.alias("recommendation"), F.lit(False).alias("experimental"), F.array(place).alias("locations"), F.lit("{}").alias("data"), F.lit(seq).alias("analyzer_seq"), F.col("doc_key").alias("emit")).select(*FINDINGS.names)
+        table_ = part if table_ is None else table_.unionByName(part)
+    return table_, listed
+
+
+def _shown(findings: DataFrame) -> DataFrame:
+    return findings.select("rule_id", "severity", F.element_at("locations", 1)["file"].alias("file"))
+
+
+@query
+def pragma_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, docs = _found(spark, sf_dir)
+    return _shown(postfilter.apply_pragmas(found, docs))
+
+
+@query
+def rule_select_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.config import Config
+
+    found, _ = _found(spark, sf_dir)
+    return _shown(postfilter.apply_rule_config(found, Config(select=("CTX002", "CTX007"), ignore=("CTX002",))))
+
+
+@query
+def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.config import Config
+
+    found, _ = _found(spark, sf_dir)
+    return postfilter.severity_counts(postfilter.apply_rule_config(found, Config(severity={"CTX008": "info"})))
+
+
+@query
+def baseline_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline of the findings in one source, taken off."""
+    found, docs = _found(spark, sf_dir)
+    marked = found.withColumn("fingerprint", postfilter.fingerprint())
+    known = marked.join(docs.where("source = 'src1'").select(F.col("path")), F.element_at("locations", 1)["file"] == F.col("path"), "left_semi").select("fingerprint")
+    return marked.join(known, "fingerprint", "left_anti").select("rule_id", "fingerprint")
+
+
+@query
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postfilter.severity_counts(_found(spark, sf_dir)[0])
+
+
+@query
+def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of the rules that a corpus breaks, one finding a rule."""
+    found, _ = _found(spark, sf_dir)
+    rules = found.select("rule_id", "severity").distinct()
+    return health(rules)
+
+
+@query
+def compare_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two corpora, by language: each metric of both, and the difference."""
+    docs = table(spark, sf_dir, "documents")
+
+    def metrics(lang: str, name: str) -> DataFrame:
+        own = chunk_documents(documents_frame(docs.where(F.col("lang") == lang)))
+        one = stats.size_distribution(own)
+        pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("n", "min", "max", "mean", "median", "p95", "stdev")]
+        return one.select(F.explode(F.array(*pairs)).alias("x")).select("x.metric", F.round("x.v", 6).alias(name))
+
+    both = metrics("en", "before").join(metrics("de", "after"), "metric")
+    return both.select("metric", "before", "after", F.round(F.col("after") - F.col("before"), 6).alias("delta"))
+
+
+@query
+def pragma_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives written into documents, and read from them again."""
+    ship(spark)
+
+    @F.udf("array<string>", useArrow=True)
+    def off(text: str) -> list[str]:
+        return disabled_rules(text)
+
+    docs = table(spark, sf_dir, "documents")
+    line = F.when(F.col("source") == "src3", F.lit("textloom: disable-all\n")).when(F.col("source") == "src7", F.lit("TEXTLOOM: disable = ctx008, CTX003;\n")).otherwise(F.lit(""))
+    return docs.select("doc_id", F.array_join(off(F.concat(line, F.col("text"))), ",").alias("disabled"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
