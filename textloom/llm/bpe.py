@@ -34,6 +34,8 @@ _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enu
 _BYTE_LEVEL = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
 CACHED_CHUNKS = 150_000
 CACHED_PAIRS = 200_000
+#: Characters from which a word is encoded by itself.
+LONG_WORD = 256
 
 
 class TrieBpe:
@@ -103,7 +105,11 @@ class TrieBpe:
         below first asks for it, and holds for the whole subtree.
         """
         end, vocab, apart, longest, root = self.end, self.vocab, self.apart, self.longest, {}
+        out: dict[str, list[str]] = {}
         for word in words:
+            if len(word) > LONG_WORD:
+                out[word] = self.encode_long(word)
+                continue
             node = root
             for c in word[:-1]:
                 below = node.get(c)
@@ -111,14 +117,13 @@ class TrieBpe:
                     below = node[c] = {}
                 node = below
             node[word[-1] + end] = None
-        out: dict[str, list[str]] = {}
-        last: list[str] = [""] * 4096  # last[n]: of the first n characters of the path, "" while unknown
+        last: list[str] = [""] * (LONG_WORD + 1)  # last[n]: of the first n characters of the path, "" while unknown
 
         def state(prefix: str, n: int) -> str:
             for start in range(n - longest if n > longest else 0, n):
                 token = prefix[start:]
                 if token in vocab and (start == 0 or apart(last[start] or state(prefix[:start], start), token)):
-                    if n <= len(prefix) and len(prefix) == n:
+                    if len(prefix) == n:  # else it is a leaf, whose mark makes it longer
                         last[n] = token
                     return token
             raise ValueError(f"the vocabulary can't spell {prefix!r}")
@@ -127,8 +132,6 @@ class TrieBpe:
         while stack:
             prefix, node = stack.pop()
             n = len(prefix)
-            if n + 1 >= len(last):
-                last.extend([""] * len(last))
             last[n] = ""
             for symbol, child in node.items():
                 if child is not None:
@@ -144,6 +147,22 @@ class TrieBpe:
                 out[prefix + symbol[0]] = tokens
         return out
 
+    def encode_long(self, word: str) -> list[str]:
+        """The same states for a word too long for the trie's paths, one prefix after another, in linear time."""
+        end, n, last = self.end, len(word), [""] * (len(word) + 1)
+        for size in range(1, n + 1):
+            mark = end if size == n else ""
+            for start in range(max(0, size - self.longest), size):
+                token = word[start:size] + mark
+                if token in self.vocab and (start == 0 or self.apart(last[start], token)):
+                    last[size] = token
+                    break
+        tokens, rest = [last[n]], n - (len(last[n]) - len(end))
+        while rest > 0:
+            tokens.append(last[rest])
+            rest -= len(last[rest])
+        return tokens[::-1]
+
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in the byte-level alphabet."""
         if self.simple and _LATIN.fullmatch(chunk):
