@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from textloom.session import cut, ship
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints under one key that are compared in one task.
 GROUP = 1024
+#: Keys a fingerprint; more blocks make more keys, which fewer fingerprints share by chance.
+MOST_KEYS = 60
 _LANES, _BYTES = np.uint64(0x0101010101010101), np.uint64(0xFF)
 
 
@@ -75,12 +78,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def block_keys(distance: int, fingerprints: int) -> tuple[list[tuple[int, int]], int]:
     """((first bit, width) of each block, blocks that close pairs share): few keys whose chance meetings stay below the fingerprints."""
-    for blocks in range(distance + 1, 17):
-        edges = [64 * i // blocks for i in range(blocks + 1)]
-        spans = [(a, b - a) for a, b in zip(edges, edges[1:])]
-        if fingerprints < 2 ** ((blocks - distance) * (64 // blocks) - 3):
-            break
-    return spans, blocks - distance
+    blocks = distance + 1
+    while fingerprints >= 2 ** ((blocks - distance) * (64 // blocks) - 3) and blocks < 64 and comb(blocks + 1, distance) <= MOST_KEYS:
+        blocks += 1
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])], blocks - distance
 
 
 def stars(fps: np.ndarray, reps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
@@ -112,7 +114,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     choices = list(combinations(spans, shared))
 
     def key(number: int, chosen) -> F.Column:
-        taken = [F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)) for first, width in chosen]
+        taken = [F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) for first, width in chosen]
         return F.xxhash64(F.lit(number), *taken)
 
     keyed_rows = distinct.select("fp", "rep", F.explode(F.array(*[key(i, c) for i, c in enumerate(choices)])).alias("k"))
