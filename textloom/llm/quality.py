@@ -90,7 +90,7 @@ class FactorizationMachine:
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, batch: int = 128) -> FactorizationMachine:
         """Adagrad on the logistic loss; the same rows in the same order give the same model."""
         n, share = len(labels), float(labels.mean()) if len(labels) else 0.5
-        if not 0 < share < 1:
+        if not n or not 0 < share < 1:
             limit = min(1 - 1e-6, max(1e-6, share))
             return cls(float(np.log(limit / (1 - limit))))
         rng = np.random.default_rng(7)
