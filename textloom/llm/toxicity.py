@@ -176,7 +176,7 @@ class Scorer:
 
 
 #: Where the fit starts from and is drawn to: base rate apart, what occurrences count for before any label says more.
-PRIOR = (-3.0, 6.0, 1.0, 2.0, 0.5)
+PRIOR = (-3.0, 6.0, 1.0, 5.0, 0.5)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.5) -> list[float]:
