@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontaminate, linededup, simhash, toxicity
@@ -19,15 +18,16 @@ from textloom.llm.queries import table, vocabulary
 from textloom.session import checkpoint_dir
 
 
-def _row_key() -> list:
-    """As operators key rows: the id without null, and a hash of the text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__th")]
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose keys are in gone (__id, __th)."""
-    marked = docs.select("*", *_row_key())
-    return marked.join(gone.select("__id", "__th").distinct(), ["__id", "__th"], "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, and their names, which docs doesn't have: the id without null and a hash of the text, as operators key rows."""
+    names = []
+    for name in ("__row_id", "__row_text"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(names[0])
+    row_text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(names[1])
+    return docs.select("*", row_id, row_text), *names
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,16 +49,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of operator 4, the document with the smallest id stays; of rows with that id, one."""
     groups = simhash.near_duplicates(docs)
-    first = W.partitionBy("__id").orderBy("__th")  # rows of one id, not of one group
-    stays = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("__id", "__th").distinct().withColumn("n", F.row_number().over(first)).where("n = 1").select("__id", "__th")
-    marked = docs.select("*", *_row_key()).join(stays, ["__id", "__th"])
-    return marked.dropDuplicates(["__id"]).select(*docs.columns)
+    marked, row_id, row_text = _keyed(docs)
+    stays = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("__id").alias(row_id)).agg(F.min("__th").alias(row_text))
+    return marked.join(stays, [row_id, row_text]).dropDuplicates([row_id]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item, by operator 10, go."""
     found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("spans") > 0))
+    marked, row_id, row_text = _keyed(docs)
+    gone = found.where(F.size("spans") > 0).select(F.col("__id").alias(row_id), F.col("__th").alias(row_text)).distinct()
+    return marked.join(gone, [row_id, row_text], "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
