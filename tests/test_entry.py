@@ -1,0 +1,49 @@
+import importlib.util
+import os
+import subprocess
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SF = "/root/testdata/sf0.001"
+
+
+def entry():
+    spec = importlib.util.spec_from_file_location("__spark_entry__", os.path.join(ROOT, "__spark_entry__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def test_names():
+    e = entry()
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
+@pytest.mark.parametrize("name", ["chunk_size_distribution", "chunk_documents_indexed", "exact_duplicate_groups", "pii_chunks", "entity_fragmentation", "table_boundary_splits"])
+def test_oracle(spark, name):
+    import duckdb
+
+    e = entry()
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages", "nation", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = e.queries()[name](spark, SF)
+    names = sorted(df.columns)
+    rel = con.sql(e.oracle_sql()[name])
+    at = [rel.columns.index(n) for n in names]
+    rounded = lambda v: round(v, 6) if isinstance(v, float) else v
+    got = sorted(repr([rounded(r[n]) for n in names]) for r in df.collect())
+    assert got == sorted(repr([rounded(r[i]) for i in at]) for r in rel.fetchall())
+
+
+def test_imports_without_the_training_data_operators(tmp_path):
+    import shutil
+
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    shutil.copytree(os.path.join(ROOT, "textloom"), tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 30 and 'pipeline' not in e.queries(); print('fine')"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert out.stdout.strip() == "fine", out.stderr
