@@ -2,7 +2,8 @@
 
 The encoding of a prefix is its last token appended to the encoding of what stands before that token. A token can be
 the last one exactly if the merges leave it and its neighbour apart. So the distinct words of a batch go into a trie,
-and one depth-first walk gives each node the last token of its prefix: prefixes that words share are encoded once.
+held as sorted words, and one depth-first walk gives each node the last token of its prefix: prefixes that words share
+are encoded once.
 The last character of a word carries the end-of-word mark, and is a leaf of its own.
 
 Defined results: a null or empty text has no tokens and decodes to "". A text of any length is encoded whole. Repeated
@@ -11,6 +12,7 @@ rows each get their result; other columns, also those named like an output, are
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -32,10 +34,9 @@ _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _BYTE_LEVEL = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
-CACHED_CHUNKS = 150_000
-CACHED_PAIRS = 200_000
-#: Characters from which a word is encoded by itself.
-LONG_WORD = 256
+CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 250_000, 250_000, 200_000
+#: Characters over which a word is encoded by itself; over which a chunk or word isn't kept.
+LONG_WORD, LONG_CHUNK = 256, 64
 
 
 class TrieBpe:
@@ -71,6 +72,10 @@ class TrieBpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
+        self.young_words: dict[str, tuple[str, int, str]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
+        self.long: list[str] = []
+        self.wordless = False  # whether a chunk without words was met
 
     def apart(self, left: str, right: str) -> bool:
         """Whether the merges leave these neighbours as two tokens.
@@ -99,25 +104,16 @@ class TrieBpe:
                 return True
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word, in the byte-level alphabet: trie, then one depth-first walk.
+        """Tokens of each distinct word, in the byte-level alphabet: one depth-first walk through the trie of the words.
 
-        The state of a node is the last token of its prefix. It is worked out from the states above it when a node
-        below first asks for it, and holds for the whole subtree.
+        The trie is held as its depth-first order, the sorted words: a word leaves the path of the one before it where
+        their characters part. The state of a node is the last token of its prefix. It is worked out from the states
+        above it when a word below first asks for it, and holds while the walk stays below that node.
         """
-        end, vocab, apart, longest, root = self.end, self.vocab, self.apart, self.longest, {}
+        end, vocab, apart, longest = self.end, self.vocab, self.apart, self.longest
         out: dict[str, list[str]] = {}
-        for word in words:
-            if len(word) > LONG_WORD:
-                out[word] = self.encode_long(word)
-                continue
-            node = root
-            for c in word[:-1]:
-                below = node.get(c)
-                if below is None:
-                    below = node[c] = {}
-                node = below
-            node[word[-1] + end] = None
         last: list[str] = [""] * (LONG_WORD + 1)  # last[n]: of the first n characters of the path, "" while unknown
+        unknown, path = [""] * (LONG_WORD + 1), ""
 
         def state(prefix: str, n: int) -> str:
             for start in range(n - longest if n > longest else 0, n):
@@ -128,23 +124,27 @@ class TrieBpe:
                     return token
             raise ValueError(f"the vocabulary can't spell {prefix!r}")
 
-        stack = [("", root)]
-        while stack:
-            prefix, node = stack.pop()
-            n = len(prefix)
-            last[n] = ""
-            for symbol, child in node.items():
-                if child is not None:
-                    stack.append((prefix + symbol, child))
-                    continue
-                token = state(prefix + symbol, n + 1)
-                tokens, rest = [token], n + 1 - (len(token) - len(end))
-                while rest > 0:
-                    token = last[rest] or state(prefix[:rest], rest)
-                    tokens.append(token)
-                    rest -= len(token)
-                tokens.reverse()
-                out[prefix + symbol[0]] = tokens
+        for word in sorted(words):
+            n = len(word)
+            if n > LONG_WORD:
+                out[word] = self.encode_long(word)
+                continue
+            shared = 0
+            for a, b in zip(path, word):
+                if a != b:
+                    break
+                shared += 1
+            last[shared + 1 : len(path) + 1] = unknown[shared + 1 : len(path) + 1]
+            path = word
+            token = state(word + end, n)
+            rest = n - (len(token) - len(end))
+            tokens = [token]
+            while rest > 0:
+                token = last[rest] or state(word[:rest], rest)
+                tokens.append(token)
+                rest -= len(token)
+            tokens.reverse()
+            out[word] = tokens
         return out
 
     def encode_long(self, word: str) -> list[str]:
@@ -166,28 +166,56 @@ class TrieBpe:
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in the byte-level alphabet."""
         if self.simple and _LATIN.fullmatch(chunk):
-            return [w if w.isascii() else w.translate(_BYTE_LEVEL) for w in _LATIN_WORDS.findall(chunk.lower())]
+            lower = chunk.lower()
+            if lower.isascii():
+                return [lower] if lower.isalpha() else _LATIN_WORDS.findall(lower)
+            return [w if w.isascii() else w.translate(_BYTE_LEVEL) for w in _LATIN_WORDS.findall(lower)]
         return [w for w, _ in self.split(self.normalize(chunk))]
 
     def chunks(self, text: str) -> list[str]:
         return _PLAIN.findall(text) if _ODD_SPACE.search(text) else text.split()
 
-    def learn(self, wanted: set[str]) -> None:
-        """Fill the cache for these chunks of text without white space."""
+    def entry(self, tokens: list[str]) -> tuple[str, int, str]:
+        return " ".join([str(self.vocab[t]) for t in tokens]), len(tokens), " ".join(tokens)
+
+    def learn(self, wanted: set[str]) -> dict[str, tuple[str, int, str]]:
+        """(ids, number, tokens) of these chunks of text without white space, among others.
+
+        What is known is kept by chunk and by word, each in two generations of bounded size: a word that comes with
+        other marks around it is not encoded again. Long chunks are forgotten at the next call.
+        """
+        for c in self.long:
+            del self.young[c]
         if len(self.young) > CACHED_CHUNKS:
             self.old, self.young = self.young, {}
+        if len(self.young_words) > CACHED_WORDS:
+            self.old_words, self.young_words = self.young_words, {}
+        young, old, spelled, once = self.young, self.old, self.young_words, self.old_words
+        self.long = [c for c in wanted.difference(young) if len(c) > LONG_CHUNK]
         new = []
-        for chunk in wanted:
-            if chunk not in self.young:
-                if (known := self.old.get(chunk)) is None:
-                    new.append(chunk)
-                else:
-                    self.young[chunk] = known
-        split = {c: self.words(c) for c in new}
-        spelled = self.encode_words({w for ws in split.values() for w in ws})
-        for chunk, ws in split.items():
-            tokens = [t for w in ws for t in spelled[w]]
-            self.young[chunk] = (" ".join([str(self.vocab[t]) for t in tokens]), len(tokens), " ".join(tokens))
+        for chunk in wanted.difference(young):
+            if (known := old.get(chunk)) is None:
+                new.append((chunk, self.words(chunk)))
+            else:
+                young[chunk] = known
+        unknown = []
+        for word in {w for _, ws in new for w in ws}.difference(spelled):
+            if (known := once.get(word)) is None:
+                unknown.append(word)
+            else:
+                spelled[word] = known
+        for word, tokens in self.encode_words(unknown).items():
+            spelled[word] = self.entry(tokens)
+        for chunk, ws in new:
+            if len(ws) == 1:
+                young[chunk] = spelled[ws[0]]
+            else:
+                own = [spelled[w] for w in ws]
+                young[chunk] = (" ".join([e[0] for e in own]), sum([e[1] for e in own]), " ".join([e[2] for e in own]))
+                self.wordless |= not ws
+        for word in [w for w in unknown if len(w) > LONG_CHUNK]:
+            del spelled[word]
+        return young
 
     def encode(self, documents: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, ids joined by a space, decoded text) of each text."""
@@ -203,16 +231,18 @@ class TrieBpe:
                     row.append(cs := self.chunks(part))
                     wanted.update(cs)
             segments.append(row)
-        self.learn(wanted)
-        known, out = self.young, []
+        known, out = self.learn(wanted), []
         for row in segments:
             entries: list[tuple[str, int, str]] = []
             for part in row:
                 if isinstance(part, str):
                     entries.append((str(self.added[part]), 1, part))
                 else:
-                    entries += [e for e in map(known.__getitem__, part) if e[1]]
-            out.append((sum([e[1] for e in entries]), " ".join([e[0] for e in entries]), " ".join([e[2] for e in entries])))
+                    entries += map(known.__getitem__, part)
+            if self.wordless:
+                entries = [e for e in entries if e[1]]
+            ids, numbers, tokens = zip(*entries) if entries else ((), (), ())
+            out.append((sum(numbers), " ".join(ids), " ".join(tokens)))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -227,6 +257,7 @@ def encoder(path: str) -> TrieBpe:
     """One encoder a process and vocabulary: workers keep it between tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TrieBpe(path)
+        gc.freeze()  # the tables stay as long as the worker
     return _ENCODERS[path]
 
 
