@@ -7,7 +7,7 @@ identical anchors: the anchor of a window is its phrase of `phrase` words with t
 2. each bucket compiles its confirmed phrases into an Aho-Corasick automaton of word numbers (pyahocorasick), streams
    its documents through it, and names the windows around each occurrence by 128-bit fingerprints of their words,
 3. the parts confirm which of these windows start at two places at least, and
-4. each bucket locates them again and takes out the words that they cover.
+4. each bucket, told again where it located them, takes out the words that they cover.
 
 Buckets hold about 8 MB of text, so an automaton holds what can occur in its shard and no more: every document is
 streamed through one automaton, whatever the corpus has. What buckets ask and what parts answer are packed arrays; an
@@ -21,11 +21,11 @@ place where its windows start, so both rows lose them. Texts are taken whole. Ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,11 @@ BUCKET_BYTES = 8 << 20
 #: Asked bytes that a part takes in at about.
 PART_BYTES = 24 << 20
 _FACTORS = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
-_ASK = "bucket long, part long, once binary, twice binary"
+#: Rows to a part: a bucket's questions, or a note to itself that the part hands back.
+_ASK = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("once", pa.binary()), ("twice", pa.binary()), ("note", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+#: Kinds of answers.
+ANCHORS, WINDOWS, NOTES = 0, 1, 2
 
 
 def rolling(h: np.ndarray, length: int, factor: int) -> np.ndarray:
@@ -66,13 +70,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """128 bits of each word, in two columns; distinct words are hashed once."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts one after another, where each text's words begin and the last's end)."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # a margin leaves an empty word
+    before = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    offsets = lists.offsets.to_numpy()
+    return words.filter(real), before[offsets - (offsets[0] if len(offsets) else 0)]
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(a number of each word, 128 bits of each word in two columns); distinct words are hashed once."""
     import xxhash
 
-    codes = pa.array(words, pa.binary()).dictionary_encode()
-    table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, codes.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
-    return table[codes.indices.to_numpy()]
+    codes = words.dictionary_encode()
+    table = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, codes.dictionary.cast(pa.binary()).to_pylist())), np.uint64).reshape(-1, 2)
+    numbers = codes.indices.to_numpy()
+    return numbers, table[numbers]
 
 
 def anchor_places(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +128,13 @@ class Packed:
         part = (self.items[:, 0] >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)
         self.edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
-    def questions(self, bucket: int) -> pd.DataFrame:
+    def questions(self, bucket: int) -> pa.Table:
         rows = []
         for p in np.flatnonzero(np.diff(self.edges)).tolist():
             own = slice(self.edges[p], self.edges[p + 1])
             items, twice = self.items[own], self.twice[own]
-            rows.append((bucket, p, items[~twice].tobytes(), items[twice].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "part", "once", "twice"]).astype({"bucket": "int64", "part": "int64"})
+            rows.append((bucket, p, items[~twice].tobytes(), items[twice].tobytes(), None))
+        return pa.table(list(zip(*rows)) or [[]] * 5, schema=_ASK)
 
     def recurring(self, answers: dict[int, bytes]) -> np.ndarray:
         """Of each item as it was given: whether it is twice here or, by the answers, elsewhere too."""
@@ -138,6 +153,11 @@ def answered(columns: int, kind: int):
     """Of a part: for each bucket's items once, one bit each, set if the item is anywhere else too."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        noted = frame["note"].notna()
+        notes = pd.DataFrame({"bucket": frame["bucket"][noted], "kind": NOTES, "part": frame["part"][noted], "bits": frame["note"][noted]})
+        frame = frame[~noted]
+        if frame.empty:
+            return notes
         once = [np.frombuffer(x, np.uint64).reshape(-1, columns) for x in frame["once"]]
         twice = [np.frombuffer(x, np.uint64).reshape(-1, columns) for x in frame["twice"]]
         sizes = np.array([len(x) for x in once])
@@ -151,72 +171,103 @@ def answered(columns: int, kind: int):
         again = np.zeros(len(order), bool)
         again[order] = several[np.cumsum(first) - 1]
         bits = [np.packbits(x).tobytes() for x in np.split(again[:total], np.cumsum(sizes)[:-1])]
-        return pd.DataFrame({"bucket": frame["bucket"], "kind": kind, "part": frame["part"], "bits": bits})
+        return pd.concat([pd.DataFrame({"bucket": frame["bucket"], "kind": kind, "part": frame["part"], "bits": bits}), notes])
 
     return answer
 
 
 class Bucket:
-    """The words of a bucket's documents, with what they ask of the parts and what the answers say."""
+    """The words of a bucket's documents, one after another, with what they ask of the parts and what the answers say."""
 
-    def __init__(self, texts: list[str], window: int, phrase: int):
+    def __init__(self, texts: pa.Array, window: int, phrase: int):
         self.window, self.phrase = window, phrase
-        self.words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.hashes = []  # of each document's words, two columns
-        group, size = [], 0
-        for words in [*self.words, None]:  # some documents at a time: the lists of words stay short
-            if words is not None:
-                group.append(words)
-                size += len(words)
-            if group and (words is None or size > 200_000):
-                flat = word_hashes([w for x in group for w in x])
-                self.hashes += np.split(flat, np.cumsum([len(x) for x in group])[:-1])
-                group, size = [], 0
-        self.places = [anchor_places(h[:, 0], window, phrase) for h in self.hashes]
-        self.spots = [np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)]) for _, p in self.places]  # a window's anchor never stands before the last window's
-        self.spots = [p[s] for (_, p), s in zip(self.places, self.spots)]
-
-    def anchors(self) -> np.ndarray:
-        """The phrase at each place that is an anchor."""
-        return np.concatenate([np.zeros(0, np.uint64), *(f[s] for (f, _), s in zip(self.places, self.spots))])[:, None]
-
-    def located(self, sure: np.ndarray) -> Iterator[np.ndarray]:
-        """For each document, the starts of windows whose anchor is a confirmed phrase; the automaton finds the phrases.
+        self.words, self.edges = split_words(texts)
+        self.sizes = np.diff(self.edges)
+        self.numbers, self.hashes = word_hashes(self.words)
 
-        sure: of each row of anchors(), whether it recurs.
+    def find_anchors(self) -> np.ndarray:
+        """The phrase at each place that is an anchor."""
+        phrases, self.places = anchor_places(self.hashes[:, 0], self.window, self.phrase)
+        fits = np.ones(len(self.places), bool)  # the window doesn't reach into the next document
+        for e in self.edges[1:-1].tolist():
+            fits[max(0, e - self.window + 1) : e] = False
+        self.fits = np.flatnonzero(fits)
+        own = self.places[self.fits]
+        self.spots = own[np.r_[True, own[1:] != own[:-1]][: len(own)]]  # a window's anchor never stands before the last window's
+        self.phrases = phrases[self.spots]
+        return self.phrases[:, None]
+
+    def located(self, sure: np.ndarray) -> np.ndarray:
+        """The starts of windows whose anchor is a confirmed phrase; the automaton finds the phrases.
+
+        sure: of each row of find_anchors(), whether it recurs.
         """
         import ahocorasick
 
-        automaton, number, known, some, done = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}, set(), [], 0
-        for words, (phrases, _), spots in zip(self.words, self.places, self.spots):
-            hit, done = spots[sure[done : done + len(spots)]], done + len(spots)
-            some.append(len(hit) > 0)
-            for p, h in zip(hit.tolist(), phrases[hit].tolist()):
-                if h not in known:
-                    known.add(h)
-                    automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in words[p : p + self.phrase]]), 1)
-        if len(automaton):
-            automaton.make_automaton()
-        for words, (_, places), any_ in zip(self.words, self.places, some):
-            if not any_:
-                yield places[:0]
-                continue
-            found = np.zeros(len(words), bool)
-            ends = [end for end, _ in automaton.iter(tuple([number.get(w, 0) for w in words]))]
-            found[np.array(ends, np.int64) - self.phrase + 1] = True
-            yield np.flatnonzero(found[places])
-
-    def windows(self, i: int, starts: np.ndarray) -> np.ndarray:
-        """128-bit fingerprints of the windows of document i at these starts."""
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        hit = self.spots[sure]
+        _, distinct = np.unique(self.phrases[sure], return_index=True)
+        for at in hit[distinct].tolist():
+            automaton.add_word(tuple((self.numbers[at : at + self.phrase] + 1).tolist()), 1)
+        if not len(automaton):
+            return self.fits[:0]
+        automaton.make_automaton()
+        found = np.zeros(len(self.numbers), bool)
+        some = np.unique(np.searchsorted(self.edges, hit, "right")) - 1  # documents that have any
+        for i in some.tolist():
+            a, b = self.edges[i], self.edges[i + 1]
+            ends = [end for end, _ in automaton.iter(tuple((self.numbers[a:b] + 1).tolist()))]
+            found[np.array(ends, np.int64) + (a - self.phrase + 1)] = True
+        return self.fits[found[self.places[self.fits]]]
+
+    def windows(self, starts: np.ndarray) -> np.ndarray:
+        """128-bit fingerprints of the windows at these starts."""
         if not len(starts):
             return np.zeros((0, 2), np.uint64)
-        return np.stack([mixed(rolling(self.hashes[i][:, k], self.window, _FACTORS[k])[starts]) for k in (0, 1)], axis=1)
+        return np.stack([mixed(rolling(self.hashes[:, k], self.window, _FACTORS[k])[starts]) for k in (0, 1)], axis=1)
+
+    def gone(self, starts: np.ndarray) -> np.ndarray:
+        """Of each word, whether one of these windows covers it."""
+        step = np.zeros(len(self.numbers) + 1, np.int64)
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + self.window, -1)
+        return np.cumsum(step)[:-1] > 0
+
+    def kept(self, gone: np.ndarray) -> pa.Array:
+        left = np.r_[0, np.cumsum(~gone)][self.edges]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), self.words.filter(pa.array(~gone))), " ")
+
+    def spans(self, gone: np.ndarray) -> pa.Array:
+        """Stretches of gone words in each document, by place in it."""
+        bounds = np.zeros(len(gone) + 1, bool)  # a stretch ends with its document
+        bounds[self.edges] = True
+        first = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | bounds[1:-1]][: len(gone)])
+        last = np.flatnonzero(gone & np.r_[~gone[1:] | bounds[1:-1], True][: len(gone)]) + 1
+        doc = np.searchsorted(self.edges, first, "right") - 1
+        base = self.edges[doc]
+        pairs = pa.StructArray.from_arrays([pa.array(first - base, pa.int32()), pa.array(last - base, pa.int32())], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(self.sizes) + 1)), pa.int32()), pairs)
+
+
+def to_runs(starts: np.ndarray) -> bytes:
+    """Ascending numbers as the bounds of their runs."""
+    breaks = np.flatnonzero(np.diff(starts) != 1)
+    return np.stack([starts[np.r_[0, breaks + 1]], starts[np.r_[breaks, len(starts) - 1]] + 1], axis=1).tobytes() if len(starts) else b""
+
+
+def from_runs(blob: bytes) -> np.ndarray:
+    runs = np.frombuffer(blob, np.int64).reshape(-1, 2)
+    sizes = runs[:, 1] - runs[:, 0]
+    return np.repeat(runs[:, 0] - np.r_[0, np.cumsum(sizes)[:-1]][: len(runs)], sizes) + np.arange(int(sizes.sum()))
+
+
+def _answers(replies: pa.Table, kind: int) -> dict[int, bytes]:
+    some = replies.filter(pc.equal(replies["kind"], kind))
+    return dict(zip(some["part"].to_pylist(), some["bits"].to_pylist()))
 
 
-def _answers(frame: pd.DataFrame, kind: int) -> dict[int, bytes]:
-    some = frame[frame["kind"] == kind]
-    return dict(zip(some["part"].tolist(), some["bits"].tolist()))
+def _texts(rows: pa.Table) -> pa.Array:
+    return rows["__text"].combine_chunks()
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -235,35 +286,29 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil((scan_bytes(docs) or 0) / PART_BYTES))
     held = source.withColumn("bucket", F.pmod(F.xxhash64("__id", "__th"), F.lit(buckets))).repartition(width, "bucket")
 
-    def ask_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-        return Packed(Bucket(frame["__text"].tolist(), window, phrase).anchors(), parts).questions(int(frame["bucket"].iloc[0]))
-
-    def around(bucket: Bucket, answers: dict[int, bytes]) -> tuple[list[np.ndarray], Packed]:
-        starts = list(bucket.located(Packed(bucket.anchors(), parts).recurring(answers)))
-        return starts, Packed(np.concatenate([np.zeros((0, 2), np.uint64), *(bucket.windows(i, s) for i, s in enumerate(starts))]), parts)
-
-    def ask_windows(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return Packed(np.zeros((0, 2), np.uint64), parts).questions(0)
-        return around(Bucket(frame["__text"].tolist(), window, phrase), _answers(replies, 0))[1].questions(int(frame["bucket"].iloc[0]))
-
-    def finish(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        bucket = Bucket(frame["__text"].tolist(), window, phrase)
-        starts, packed = around(bucket, _answers(replies, 0))
-        repeated = packed.recurring(_answers(replies, 1))
-        removed, kept, spans, done = [], [], [], 0
-        for words, own in zip(bucket.words, starts):
-            own, done = own[repeated[done : done + len(own)]], done + len(own)
-            step = np.zeros(len(words) + 1, np.int64)
-            np.add.at(step, own, 1)
-            np.add.at(step, own + window, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if len(own) else words).decode("utf-8", "surrogatepass"))
-            spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-        ids = [None if x == NULL_ID else x for x in frame["__id"].tolist()]
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": bucket.sizes, "n_removed": removed, "kept": kept, "spans": spans})
+    def ask_anchors(rows: pa.Table) -> pa.Table:
+        return Packed(Bucket(_texts(rows), window, phrase).find_anchors(), parts).questions(rows["bucket"][0].as_py())
+
+    def ask_windows(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _ASK.empty_table()
+        number = rows["bucket"][0].as_py()
+        bucket = Bucket(_texts(rows), window, phrase)
+        starts = bucket.located(Packed(bucket.find_anchors(), parts).recurring(_answers(replies, ANCHORS)))
+        asked = Packed(bucket.windows(starts), parts).questions(number)
+        note = pa.table([[number], [number % parts], [None], [None], [to_runs(starts)]], schema=_ASK)
+        return pa.concat_tables([asked, note])
+
+    def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _RESULT.empty_table()
+        bucket = Bucket(_texts(rows), window, phrase)
+        starts = from_runs(_answers(replies, NOTES)[rows["bucket"][0].as_py() % parts])
+        repeated = Packed(bucket.windows(starts), parts).recurring(_answers(replies, WINDOWS))
+        gone = bucket.gone(starts[repeated])
+        removed = np.diff(np.r_[0, np.cumsum(gone)][bucket.edges])
+        ids = pc.if_else(pc.equal(rows["__id"], NULL_ID), pa.scalar(None, pa.int64()), rows["__id"])
+        return pa.table([ids, pa.array(bucket.sizes), pa.array(removed), bucket.kept(gone), bucket.spans(gone)], schema=_RESULT)
 
     def grouped(frame: DataFrame):
         return frame.repartition(width, "bucket").groupBy("bucket")
@@ -271,10 +316,11 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def answers_to(questions: DataFrame, columns: int, kind: int) -> DataFrame:
         return questions.groupBy("part").applyInPandas(answered(columns, kind), "bucket long, kind int, part long, bits binary")
 
-    first = answers_to(held.groupBy("bucket").applyInPandas(ask_anchors, _ASK), 1, 0)
-    second = answers_to(held.groupBy("bucket").cogroup(grouped(first)).applyInPandas(ask_windows, _ASK), 2, 1)
+    ask = "bucket long, part long, once binary, twice binary, note binary"
+    first = answers_to(held.groupBy("bucket").applyInArrow(ask_anchors, ask), 1, ANCHORS)
+    second = answers_to(held.groupBy("bucket").cogroup(grouped(first)).applyInArrow(ask_windows, ask), 2, WINDOWS)
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
-    return held.groupBy("bucket").cogroup(grouped(first.unionByName(second))).applyInPandas(finish, schema)
+    return held.groupBy("bucket").cogroup(grouped(second)).applyInArrow(finish, schema)
 
 
 def digests(result: DataFrame) -> DataFrame:
