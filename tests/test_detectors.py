@@ -32,4 +32,4 @@ def test_encoding(spark):
 
 
 def test_placeholders(spark):
-    assert [len(x) for x in run(spark, D.placeholder_terms(F.col("t")), "TODO and Lorem ipsum", "method todos")] == [2, 0]
+    assert [len(x) for x in run(spark, D.placeholder_terms(F.col("t")), "TODO and Lorem ipsum, wip", "method todos")] == [3, 0]

@@ -110,7 +110,7 @@ def test_rules_and_score():
     assert not register_rule(Rule("CTX001", "x", "y", Severity.INFO, "", ""))
     assert get_rule("NEW9").category == "plugin"
     f = lambda s: Finding("R", s, "")
-    assert compute_health([]).score == 100 and compute_health([]).grade == "A+"
+    assert compute_health([]).score == 100 and (compute_health([]).grade, compute_health([]).label) == ("A+", "pristine")
     assert compute_health([f(Severity.ERROR)] + [f(Severity.WARNING)] * 5).score == 69
     assert compute_health([f(Severity.ERROR), f(Severity.WARNING)]).grade == "B"
 

@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import fixed
 from textloom.functions.text import WS
 
-#: Words that stand at the start of sentences and name nothing, by length.
-STOPWORDS: tuple[str, ...] = tuple(
-    """
-    a i be he we if of an in on do no so to or as is at it by bad did old and see she the one are use all can who
-    too two her for our was yes his its not but you new how may why any used good some here were more else note
-    each such with both will whom than been then when also step your does this less thus that what last most just
-    must next they very could would hence three while there these those being using which shall their might least
-    first every should second either example neither however therefore
-    """.split()
-)
-_TOKEN = r"[A-Z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)?"
-ACRONYM = r"(?U)\b([A-Z]{2,}[0-9]*)\b"
+_TOKEN = fixed.PROPER_TOKEN_SHAPE
+ACRONYM, IDENTIFIER = "(?U)" + fixed.ACRONYM_SHAPE, "(?U)" + fixed.IDENTIFIER_SHAPE
 PROPER = rf"(?U)\b({_TOKEN}(?:[{WS}]+{_TOKEN}){{0,4}})\b"
-IDENTIFIER = r"(?U)\b([a-z]+(?:(?:_[a-z0-9]+)+|[A-Z][A-Za-z0-9]+))\b"
 
 
 def clean(term: Column) -> Column:
@@ -29,7 +19,7 @@ def clean(term: Column) -> Column:
 
 
 def _stop(token: Column) -> Column:
-    return F.lower(token).isin(*STOPWORDS)
+    return F.lower(token).isin(*fixed.STOPWORDS)
 
 
 def _named(tokens: Column) -> Column:

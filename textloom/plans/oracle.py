@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.functions.entities import STOPWORDS
+from textloom.functions.fixed import SECRET_SHAPES, STOPWORDS
 
 _C = r"""
 d as (select doc_id, coalesce(text, '') as t from documents),
@@ -41,11 +41,7 @@ near as (select a, b, round(similarity, 6) as similarity, ga.n as n_a, gb.n as n
 _MEMBERS = f"mem as (select g.first_index, h.index from h join g on {_HASH} = g.content_hash where trim(h.text) <> '')"
 
 _B = r"(?:[^0-9]|$)"
-_SECRETS = (
-    ("OpenAI API key", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b"), ("Anthropic API key", r"\bsk-ant-[A-Za-z0-9_-]{20,}\b"), ("AWS access key id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("GitHub token", r"\bgh[oprsu]_[A-Za-z0-9]{20,}\b"), ("Google API key", r"\bAIza[0-9A-Za-z_-]{35}\b"), ("Slack token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}\b"),
-    ("Stripe secret key", r"\b[rs]k_live_[A-Za-z0-9]{16,}\b"), ("generic assigned secret", r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|access[_-]?token)\b\s*[:=]\s*[''\"]?[A-Za-z0-9_\-/+]{16,}"),
-)
+_SECRETS = tuple((kind, shape.replace("'", "''")) for kind, shape in SECRET_SHAPES)
 
 
 def _ascii(column: str) -> str:
@@ -105,7 +101,7 @@ def _compare() -> str:
 
 def _health(source: str) -> str:
     score = f"cast(round_even(100 * exp(-coalesce((select sum(case severity when 'error' then 15 when 'warning' then 6 else 1.5 end) from {source}), 0) / 120.0), 0) as int)"
-    return f"select score, case when score >= 97 then 'A+' when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade, case when score >= 90 then 'excellent' when score >= 80 then 'good' when score >= 70 then 'fair' when score >= 60 then 'poor' else 'critical' end as label from (select {score} as score)"
+    return f"select score, case when score >= 97 then 'A+' when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade, case when score >= 97 then 'pristine' when score >= 90 then 'excellent' when score >= 80 then 'good' when score >= 70 then 'fair' when score >= 60 then 'poor' else 'critical' end as label from (select {score} as score)"
 
 
 def _counts(expression: str = "severity") -> str:

@@ -9,12 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.fixed import GRADES, SCORE_DECAY, SEVERITY_WEIGHTS
 from textloom.models import Finding
 
-WEIGHTS = {"error": 15.0, "warning": 6.0, "info": 1.5}
-DECAY = 120.0
-GRADES = ((97, "A+", "excellent"), (90, "A", "excellent"), (80, "B", "good"), (70, "C", "fair"), (60, "D", "poor"), (0, "F", "critical"))
-
 
 @dataclass(frozen=True)
 class HealthScore:
@@ -28,13 +25,13 @@ def grade(score: int) -> HealthScore:
 
 
 def compute_health(findings: Iterable[Finding]) -> HealthScore:
-    return grade(round(100 * math.exp(-sum(WEIGHTS[f.severity.value] for f in findings) / DECAY)))
+    return grade(round(100 * math.exp(-sum(SEVERITY_WEIGHTS[f.severity.value] for f in findings) / SCORE_DECAY)))
 
 
 def health(findings: DataFrame) -> DataFrame:
     """score, grade, label of a findings table, as one row."""
-    weight = F.coalesce(*[F.when(F.col("severity") == s, F.lit(w)) for s, w in WEIGHTS.items()])
-    score = F.bround(100 * F.exp(-F.coalesce(F.sum(weight), F.lit(0.0)) / DECAY), 0).cast("int")
+    weight = F.coalesce(*[F.when(F.col("severity") == s, F.lit(w)) for s, w in SEVERITY_WEIGHTS.items()])
+    score = F.bround(100 * F.exp(-F.coalesce(F.sum(weight), F.lit(0.0)) / SCORE_DECAY), 0).cast("int")
 
     def pick(at: int) -> Column:
         return F.coalesce(*[F.when(F.col("score") >= g[0], F.lit(g[at])) for g in GRADES])
