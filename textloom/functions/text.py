@@ -75,7 +75,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def minhash_signature(shingle_set: Column, permutations: int = 32) -> Column:
     """Smallest hash of the set under each seed; an empty set has the largest value everywhere."""
     seeds = F.sequence(F.lit(0), F.lit(permutations - 1))
-    return F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(shingle_set, lambda x: F.xxhash64(x, s))), F.lit((1 << 63) - 1)))
+    hashed = F.transform(shingle_set, lambda x: F.xxhash64(x))  # bound once: else each seed would cut the text anew
+    return let(hashed, lambda hs: F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(hs, lambda h: F.xxhash64(h, s))), F.lit((1 << 63) - 1))))
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:
