@@ -34,7 +34,7 @@ _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _BYTE_LEVEL = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
-CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 250_000, 250_000, 200_000
+CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 180_000, 180_000, 200_000
 #: Characters over which a word is encoded by itself; over which a chunk or word isn't kept.
 LONG_WORD, LONG_CHUNK = 256, 64
 
@@ -245,6 +245,12 @@ class TrieBpe:
             out.append((sum(numbers), " ".join(ids), " ".join(tokens)))
         return out
 
+    def forget(self) -> None:
+        """Give back the memory of what was learnt; the vocabulary stays."""
+        for known in (self.young, self.old, self.young_words, self.old_words, self.pairs):
+            known.clear()
+        self.long = []
+
     def decode(self, ids: Iterable[int]) -> str:
         """What the library's decode() gives where a vocabulary has no decoder: tokens joined by a space."""
         return " ".join([self.token[i] for i in ids if i in self.token])
@@ -273,11 +279,13 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(vocabulary)
+        model.forget()  # a task before this one may have failed
         for batch in pieces(batches, "__text", FLUSH_BYTES // 2):
             rows = model.encode(texts(batch, "__text"))
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f"__{i}" for i in range(len(keep))), "n_tokens", "ids_text", "decoded"])
+        model.forget()  # other operators run in this worker too
 
     return source.mapInArrow(run, schema).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids_text", "decoded")
 
