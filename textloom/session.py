@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold when the session leaves Spark's default; whole texts can be long.
 BATCH_ROWS = 500
@@ -37,13 +38,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """The shared folder of spark.checkpoint.dir. Only a local session that names none gets a temporary one of its own."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"textloom-checkpoints-{uuid.uuid4().hex}"))
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = os.path.join(tempfile.gettempdir(), f"textloom-checkpoints-{uuid.uuid4().hex}")
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -53,14 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for a plan, or None where it has no statistics."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else None
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def shuffle_width(df: DataFrame, bytes_each: int = 8 << 20, inflate: float = 2.0) -> int:
-    """Partitions so that each holds about bytes_each of text; never fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    size = scan_bytes(df)
-    return max(least, math.ceil((size or 0) * inflate / bytes_each))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a string column, measured: estimates of a scan are of compressed files, and other plans have none."""
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+
+
+def width_for(spark: SparkSession, total: int, each: int) -> int:
+    """Partitions so that each holds about `each` of total; never fewer than the session's shuffle partitions."""
+    return max(shuffle_partitions(spark), math.ceil(total / each))
