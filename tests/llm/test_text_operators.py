@@ -51,7 +51,7 @@ def windows_brute(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window,phrase", [(35, 8), (5, 2), (1, 1), (4, 4)])
+@pytest.mark.parametrize("window,phrase", [(35, 8), (5, 2), (1, 1), (4, 4), (7, 3)])
 def test_substring_dedup(spark, window, phrase):
     rows = texts() + [(70, "p q " * 60), (71, "z " * 36)]
     got = substring.removed_words(frame(spark, rows), window=window, phrase=phrase)
@@ -59,6 +59,48 @@ def test_substring_dedup(spark, window, phrase):
     assert got.where(F.expr("n_removed <> aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")).count() == 0
 
 
+def test_mixing_can_be_undone():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    assert np.array_equal(substring.unmixed(substring.mixed(h)), h)
+
+
+def test_windows_are_found_by_the_automaton_alone(monkeypatch):
+    """Without its hits nothing is located, and a phrase from elsewhere locates windows that no anchor of the bucket names."""
+    import ahocorasick
+    import numpy as np
+    import pyarrow as pa
+
+    def located(texts, phrases_of):
+        other = substring.Bucket(pa.array(phrases_of), 6, 2)
+        numbers = other.phrases.numbers(other.phrases.codes(other.hashes[:, 0]))
+        return substring.Bucket(pa.array(texts), 6, 2).located(numbers)
+
+    text = "a b c d e f g h i j k l"
+    assert located([text, "too short", text], ["g h"]).tolist() == [*range(2, 7), *range(16, 21)]
+    assert located([text], ["l a", "x y"]).tolist() == []
+
+    class Deaf:
+        def __init__(self, *kinds):
+            self.words = 0
+
+        def add_word(self, word):
+            self.words += 1
+
+        def __len__(self):
+            return self.words
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, *stream):
+            return iter(())
+
+    monkeypatch.setattr(ahocorasick, "Automaton", Deaf)
+    assert located([text], ["g h"]).tolist() == []
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring.removed_words(frame(spark, [])).count() == 0
 

@@ -1,18 +1,23 @@
 """Substring dedup with repeated-phrase automata.
 
-A window of `window` consecutive words goes if its word sequence starts anywhere else too. Identical windows hold
-identical anchors: the anchor of a window is its phrase of `phrase` words with the smallest hash. So
-
-1. each bucket of documents names its distinct anchors; those that recur anywhere are confirmed (parts by hash),
-2. each bucket compiles its confirmed phrases into an Aho-Corasick automaton of word numbers (pyahocorasick), streams
-   its documents through it, and names the windows around each occurrence by 128-bit fingerprints of their words,
-3. the parts confirm which of these windows start at two places at least, and
-4. each bucket, told again where it located them, takes out the words that they cover.
-
-Buckets hold about 8 MB of text, so an automaton holds what can occur in its shard and no more: every document is
-streamed through one automaton, whatever the corpus has. What buckets ask and what parts answer are packed arrays; an
-answer is one bit for each item asked. A bucket names each item once with a mark for "twice here", so a passage that
-every document holds puts one item a bucket into its part, and no key gathers rows.
+A window of `window` consecutive words goes if its word sequence starts anywhere else too. Words are written as byte
+codes, so a phrase of `phrase` words is a string of eight characters at most. Of each window, the phrase with the
+smallest hash is its anchor; windows with the same words have the same anchor.
+
+1. Each bucket of documents asks for its distinct anchors. Parts, dealt by hash, confirm those that recur anywhere and
+   send the confirmed phrases to the buckets that asked: one shard of the confirmed phrases for each bucket.
+2. Each bucket compiles its shard into an Aho-Corasick automaton (pyahocorasick) and streams every document of its own
+   through it. Nothing is known of places before: the windows that hold a hit are the only ones looked at further. They
+   are asked for by 128-bit fingerprints of their words, so equal codes of different words do no harm.
+3. Parts say which of these windows start at two places at least, and
+4. each bucket, told again where its automaton located them, takes out the words that they cover.
+
+A phrase that recurs in a document is an anchor of that document's bucket, so its shard has every phrase that its
+documents can hold a repeated window by: no document has to visit other shards, and the work is linear in the corpus.
+A bucket holds about BUCKET_BYTES of text, several go to a task one after another. A bucket names each item once, with a
+mark for "twice here", so a passage that every document holds puts one item a bucket into its part, and no key gathers
+rows. Rows are dealt by id, text and place, so that rows which repeat both id and text spread too; docs has to be a
+table, or another plan that gives the same rows in the same order if it is computed again.
 
 Defined results: null and empty texts have no words. Texts under one window lose nothing. A repeated row is a further
 place where its windows start, so both rows lose them. Texts are taken whole. Other columns are not read.
@@ -30,18 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import NULL_ID, keyed
-from textloom.session import scan_bytes, ship, shuffle_width
+from textloom.session import ship, text_bytes, width_for
 
 WINDOW, PHRASE = 35, 8
-BUCKET_BYTES = 8 << 20
-#: Asked bytes that a part takes in at about.
-PART_BYTES = 24 << 20
+#: Text of a bucket, of the buckets in a task, and for each part.
+BUCKET_BYTES, TASK_BYTES, PART_BYTES = 2 << 20, 16 << 20, 4 << 20
+#: Rows of one id and text are dealt over so many buckets.
+SPREAD = 64
 _FACTORS = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
+_MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Rows to a part: a bucket's questions, or a note to itself that the part hands back.
 _ASK = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("once", pa.binary()), ("twice", pa.binary()), ("note", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-#: Kinds of answers.
-ANCHORS, WINDOWS, NOTES = 0, 1, 2
+#: Kinds of answers: confirmed phrases, a bit for each window asked, a note handed back.
+PHRASES, WINDOWS, NOTES = 0, 1, 2
 
 
 def rolling(h: np.ndarray, length: int, factor: int) -> np.ndarray:
@@ -64,12 +71,22 @@ def rolling(h: np.ndarray, length: int, factor: int) -> np.ndarray:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads the low bits' weakness of rolling()."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    """A bijection of 64-bit words that spreads the weakness of low bits."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_MULTIPLIERS[0])
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_MULTIPLIERS[1])
     return h ^ (h >> np.uint64(32))
 
 
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """What mixed() was given."""
+
+    def unshifted(x: np.ndarray, by: int) -> np.ndarray:
+        return np.bitwise_xor.reduce([x >> np.uint64(k) for k in range(0, 64, by)])
+
+    first, second = (np.uint64(pow(m, -1, 1 << 64)) for m in _MULTIPLIERS)
+    return unshifted(unshifted(unshifted(h, 32) * second, 29) * first, 31)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the words of all texts one after another, where each text's words begin and the last's end)."""
     lists = pc.ascii_split_whitespace(texts)
@@ -90,18 +107,14 @@ def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return numbers, table[numbers]
 
 
-def anchor_places(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the phrase at each word, place of each window's anchor: the first of its smallest phrases)."""
-    phrases = mixed(rolling(hashes, phrase, _FACTORS[0]))
-    n, width = len(hashes) - window + 1, window - phrase + 1
-    if n <= 0:
-        return phrases, np.zeros(0, np.int64)
-    best, size = np.arange(len(phrases)), 1
+def first_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first smallest value in each run of width values."""
+    best, size = np.arange(len(values)), 1
     while size < width:  # minima over doubled, then overlapping stretches
         step = min(size, width - size)
         a, b = best[: len(best) - step], best[step:]
-        best, size = np.where(phrases[b] < phrases[a], b, a), size + step
-    return phrases, best[:n]
+        best, size = np.where(values[b] < values[a], b, a), size + step
+    return best[: max(0, len(values) - width + 1)]
 
 
 def ordered(items: np.ndarray) -> np.ndarray:
@@ -150,11 +163,11 @@ class Packed:
 
 
 def answered(columns: int, kind: int):
-    """Of a part: for each bucket's items once, one bit each, set if the item is anywhere else too."""
+    """Of a part, for each bucket: which of its items are anywhere else too; phrases themselves, or a bit for each item once."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         noted = frame["note"].notna()
-        notes = pd.DataFrame({"bucket": frame["bucket"][noted], "kind": NOTES, "part": frame["part"][noted], "bits": frame["note"][noted]})
+        notes = pd.DataFrame({"bucket": frame["bucket"][noted], "kind": NOTES, "part": frame["part"][noted], "found": frame["note"][noted]})
         frame = frame[~noted]
         if frame.empty:
             return notes
@@ -170,55 +183,81 @@ def answered(columns: int, kind: int):
         several = np.add.reduceat(np.where(order < total, 1, 2), at) > 1 if len(at) else np.zeros(0, bool)
         again = np.zeros(len(order), bool)
         again[order] = several[np.cumsum(first) - 1]
-        bits = [np.packbits(x).tobytes() for x in np.split(again[:total], np.cumsum(sizes)[:-1])]
-        return pd.concat([pd.DataFrame({"bucket": frame["bucket"], "kind": kind, "part": frame["part"], "bits": bits}), notes])
+        marks = np.split(again[:total], np.cumsum(sizes)[:-1])
+        if kind == PHRASES:
+            found = [x[m].tobytes() + y.tobytes() for x, m, y in zip(once, marks, twice)]
+        else:
+            found = [np.packbits(m).tobytes() for m in marks]
+        return pd.concat([pd.DataFrame({"bucket": frame["bucket"], "kind": kind, "part": frame["part"], "found": found}), notes])
 
     return answer
 
 
+class Phrases:
+    """Words as byte codes: a phrase is a number of 64 bits, and a string of one character a byte."""
+
+    def __init__(self, phrase: int):
+        self.words, self.each = phrase, 8 // phrase
+        self.size = self.words * self.each
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The bytes of all words one after another. hashes: 64 bits of each word."""
+        return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, : self.each].ravel()
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The phrase that begins at each word, mixed."""
+        if len(codes) < self.size:
+            return np.zeros(0, np.uint64)
+        runs = np.lib.stride_tricks.sliding_window_view(codes, self.size)[:: self.each]
+        padded = np.zeros((len(runs), 8), np.uint8)
+        padded[:, : self.size] = runs
+        return mixed(padded.view(np.uint64).ravel())
+
+    def strings(self, numbers: np.ndarray) -> list[str]:
+        text = unmixed(numbers).tobytes().decode("latin-1")
+        return [text[i : i + self.size] for i in range(0, len(text), 8)]
+
+
 class Bucket:
-    """The words of a bucket's documents, one after another, with what they ask of the parts and what the answers say."""
+    """The words of a bucket's documents, one after another."""
 
     def __init__(self, texts: pa.Array, window: int, phrase: int):
-        self.window, self.phrase = window, phrase
+        self.window, self.phrases = window, Phrases(phrase)
         self.words, self.edges = split_words(texts)
         self.sizes = np.diff(self.edges)
         self.numbers, self.hashes = word_hashes(self.words)
 
-    def find_anchors(self) -> np.ndarray:
-        """The phrase at each place that is an anchor."""
-        phrases, self.places = anchor_places(self.hashes[:, 0], self.window, self.phrase)
-        fits = np.ones(len(self.places), bool)  # the window doesn't reach into the next document
+    def anchors(self) -> np.ndarray:
+        """The phrases that are anchors, in order of their places; those at several places repeat."""
+        numbers = self.phrases.numbers(self.phrases.codes(self.hashes[:, 0]))
+        places = first_minima(numbers, self.window - self.phrases.words + 1)
+        fits = np.ones(len(places), bool)  # the window doesn't reach into the next document
         for e in self.edges[1:-1].tolist():
             fits[max(0, e - self.window + 1) : e] = False
-        self.fits = np.flatnonzero(fits)
-        own = self.places[self.fits]
-        self.spots = own[np.r_[True, own[1:] != own[:-1]][: len(own)]]  # a window's anchor never stands before the last window's
-        self.phrases = phrases[self.spots]
-        return self.phrases[:, None]
-
-    def located(self, sure: np.ndarray) -> np.ndarray:
-        """The starts of windows whose anchor is a confirmed phrase; the automaton finds the phrases.
+        own = places[fits]
+        return numbers[own[np.r_[True, own[1:] != own[:-1]][: len(own)]]]  # a window's anchor never stands before the last window's
 
-        sure: of each row of find_anchors(), whether it recurs.
-        """
+    def located(self, confirmed: np.ndarray) -> np.ndarray:
+        """The starts of windows that hold a confirmed phrase: every document goes through an automaton of these phrases."""
         import ahocorasick
 
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        hit = self.spots[sure]
-        _, distinct = np.unique(self.phrases[sure], return_index=True)
-        for at in hit[distinct].tolist():
-            automaton.add_word(tuple((self.numbers[at : at + self.phrase] + 1).tolist()), 1)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in self.phrases.strings(confirmed):
+            automaton.add_word(phrase)
         if not len(automaton):
-            return self.fits[:0]
+            return np.zeros(0, np.int64)
         automaton.make_automaton()
-        found = np.zeros(len(self.numbers), bool)
-        some = np.unique(np.searchsorted(self.edges, hit, "right")) - 1  # documents that have any
-        for i in some.tolist():
-            a, b = self.edges[i], self.edges[i + 1]
-            ends = [end for end, _ in automaton.iter(tuple((self.numbers[a:b] + 1).tolist()))]
-            found[np.array(ends, np.int64) + (a - self.phrase + 1)] = True
-        return self.fits[found[self.places[self.fits]]]
+        each, reach = self.phrases.each, self.window - self.phrases.words
+        stream = self.phrases.codes(self.hashes[:, 0]).tobytes().decode("latin-1")
+        steps = np.zeros(len(self.numbers) + 1, np.int64)
+        for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist()):
+            ends = [end for end, _ in automaton.iter(stream, a * each, b * each)]
+            if ends and b - a >= self.window:
+                last = np.array(ends, np.int64) + 1
+                at = last[last % each == 0] // each - self.phrases.words  # hits at the borders of words
+                np.add.at(steps, np.maximum(at - reach, a), 1)
+                np.add.at(steps, np.minimum(at, b - self.window) + 1, -1)
+        return np.flatnonzero(np.cumsum(steps)[:-1] > 0)
 
     def windows(self, starts: np.ndarray) -> np.ndarray:
         """128-bit fingerprints of the windows at these starts."""
@@ -263,7 +302,7 @@ def from_runs(blob: bytes) -> np.ndarray:
 
 def _answers(replies: pa.Table, kind: int) -> dict[int, bytes]:
     some = replies.filter(pc.equal(replies["kind"], kind))
-    return dict(zip(some["part"].to_pylist(), some["bits"].to_pylist()))
+    return dict(zip(some["part"].to_pylist(), some["found"].to_pylist()))
 
 
 def _texts(rows: pa.Table) -> pa.Array:
@@ -276,25 +315,25 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans: stretches of words that went, by place in the input. One row for each input row.
     The text is shuffled once by bucket and read from that shuffle by all passes.
     """
-    if not 0 < phrase <= window:
-        raise ValueError("a phrase has at least one word and at most a window's")
+    if not 0 < phrase <= min(window, 8):
+        raise ValueError("a phrase has at least one word and at most eight or a window's")
     spark = docs.sparkSession
     ship(spark)
-    source = keyed(docs, id_col, text_col)
-    width = shuffle_width(docs, BUCKET_BYTES)
-    buckets = width
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil((scan_bytes(docs) or 0) / PART_BYTES))
-    held = source.withColumn("bucket", F.pmod(F.xxhash64("__id", "__th"), F.lit(buckets))).repartition(width, "bucket")
+    total = text_bytes(docs, text_col)
+    width, buckets, parts = (width_for(spark, total, each) for each in (TASK_BYTES, BUCKET_BYTES, PART_BYTES))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    held = keyed(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("__id", "__th", salt), F.lit(buckets))).repartition(width, "bucket")
 
-    def ask_anchors(rows: pa.Table) -> pa.Table:
-        return Packed(Bucket(_texts(rows), window, phrase).find_anchors(), parts).questions(rows["bucket"][0].as_py())
+    def ask_phrases(rows: pa.Table) -> pa.Table:
+        anchors = Bucket(_texts(rows), window, phrase).anchors()
+        return Packed(anchors[:, None], parts).questions(rows["bucket"][0].as_py())
 
     def ask_windows(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _ASK.empty_table()
         number = rows["bucket"][0].as_py()
         bucket = Bucket(_texts(rows), window, phrase)
-        starts = bucket.located(Packed(bucket.find_anchors(), parts).recurring(_answers(replies, ANCHORS)))
+        starts = bucket.located(np.frombuffer(b"".join(_answers(replies, PHRASES).values()), np.uint64))
         asked = Packed(bucket.windows(starts), parts).questions(number)
         note = pa.table([[number], [number % parts], [None], [None], [to_runs(starts)]], schema=_ASK)
         return pa.concat_tables([asked, note])
@@ -310,17 +349,15 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = pc.if_else(pc.equal(rows["__id"], NULL_ID), pa.scalar(None, pa.int64()), rows["__id"])
         return pa.table([ids, pa.array(bucket.sizes), pa.array(removed), bucket.kept(gone), bucket.spans(gone)], schema=_RESULT)
 
-    def grouped(frame: DataFrame):
-        return frame.repartition(width, "bucket").groupBy("bucket")
-
-    def answers_to(questions: DataFrame, columns: int, kind: int) -> DataFrame:
-        return questions.groupBy("part").applyInPandas(answered(columns, kind), "bucket long, kind int, part long, bits binary")
+    def answers_to(questions: DataFrame, columns: int, kind: int):
+        answers = questions.repartition(width, "part").groupBy("part").applyInPandas(answered(columns, kind), "bucket long, kind int, part long, found binary")
+        return answers.repartition(width, "bucket").groupBy("bucket")
 
     ask = "bucket long, part long, once binary, twice binary, note binary"
-    first = answers_to(held.groupBy("bucket").applyInArrow(ask_anchors, ask), 1, ANCHORS)
-    second = answers_to(held.groupBy("bucket").cogroup(grouped(first)).applyInArrow(ask_windows, ask), 2, WINDOWS)
+    phrases = answers_to(held.groupBy("bucket").applyInArrow(ask_phrases, ask), 1, PHRASES)
+    windows = answers_to(held.groupBy("bucket").cogroup(phrases).applyInArrow(ask_windows, ask), 2, WINDOWS)
     schema = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
-    return held.groupBy("bucket").cogroup(grouped(second)).applyInArrow(finish, schema)
+    return held.groupBy("bucket").cogroup(windows).applyInArrow(finish, schema)
 
 
 def digests(result: DataFrame) -> DataFrame:
