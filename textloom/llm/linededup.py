@@ -3,12 +3,13 @@
 A line's key is the line without margins of ASCII white space, A-Z lower-cased. Keys of at least `min_chars` code points
 that at least `min_docs` documents hold lose all their lines, except in the document with the largest id that has it.
 
-Each document gives one row a key: 128-bit hash, id, places of its lines. Rows are partitioned by ranges of (hash, id)
-and sorted by hash, then by id from the largest: the first document in the stream of a key is the one that keeps it. As
+Each line with a key gives one row: 128-bit hash, id, place. Rows are partitioned by ranges of (hash, id) and sorted by
+hash, then by id from the largest, then by place: the first document in the stream of a key is the one that keeps it. As
 the id is part of the range, a key that a third of all documents hold spreads over as many partitions as its rows need.
-Keys that reach the edge of a partition may go on in the next one; a partition has two at most, and only their counts
-(two rows a partition) go to the driver. The stream then gives the dropped places, gathered into a compressed bitmap of
-kept lines a document; text doesn't move with them.
+A key inside a partition is decided there. The first and the last key of a partition may go on in others: their rows are
+left open, summed up by (partition, key), merged by key over the partitions that it reaches, and decided by a join on
+(partition, key), which no hot key can swell. Nothing goes to the driver but the number of rows. The dropped places are
+gathered into a compressed bitmap of kept lines a document; text doesn't move with them.
 
 Defined results: a null or empty text is one empty line. Rows that repeat an id count as one document; repeated rows
 lose the same lines. A null id counts as one document, the smallest. Very long texts and lines are hashed whole.
@@ -23,152 +24,132 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.common import ASCII_LOWER, NULL_ID, SPACE_CHARS, keyed, pieces, public_id, texts
-from textloom.session import cut, ship, shuffle_width
+from textloom.session import cut, ship, width_for
 
 MIN_CHARS, MIN_DOCS = 20, 3
-_ROW = "h1 long, h2 long, id long, th long, n_lines int, places binary"
+#: Rows of a range.
+RANGE_ROWS = 1 << 18
+_COLUMNS = ("h1", "h2", "id", "th", "n_lines", "place")
+_ROW = "h1 long, h2 long, id long, th long, n_lines int, place int"
 
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2, id, th, n_lines, places (int32): one row for each key that a row of keyed() holds."""
+    """h1, h2, id, th, n_lines, place: one row for each line of keyed() rows that has a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "__text"):
             keys, ids, ths, counts, places = [], [], [], [], []
             for i, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "__text")):
                 lines = text.split("\n")
-                own: dict[str, list[int]] = {}
-                for at, line in enumerate(lines):
-                    line = line.strip(SPACE_CHARS)
-                    if len(line) >= min_chars:
-                        own.setdefault(line.translate(ASCII_LOWER), []).append(at)
-                keys += [hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in own]
+                stripped = [line.strip(SPACE_CHARS) for line in lines]
+                own = [at for at, line in enumerate(stripped) if len(line) >= min_chars]
+                keys += [hashlib.blake2b(stripped[at].translate(ASCII_LOWER).encode("utf-8", "surrogatepass"), digest_size=16).digest() for at in own]
                 ids += [i] * len(own)
                 ths += [th] * len(own)
                 counts += [len(lines)] * len(own)
-                places += [np.array(x, np.int32).tobytes() for x in own.values()]
+                places += own
             h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(counts, pa.int32()), pa.array(places, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "th", "n_lines", "places"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((h[:, 0], h[:, 1], ids, ths, counts, places), kinds)], names=_COLUMNS)
 
     return docs.mapInArrow(run, _ROW)
 
 
-def _edges():
-    """Of a sorted partition: its first and its last key, with the number of documents and the largest id of each."""
+def _starts(rows: list[np.ndarray]) -> np.ndarray:
+    """Where each key begins in sorted rows."""
+    h1, h2 = rows[:2]
+    return np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])][: len(h1)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list[int]] = []  # [h1, h2, documents, largest id, last id]
-        for batch in batches:
-            h1, h2, ids = (batch.column(i).to_numpy() for i in range(3))
-            if not len(ids):
-                continue
-            starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            ends = np.r_[starts[1:], len(ids)]
-            for k in dict.fromkeys((0, len(starts) - 1)):
-                a, b = starts[k], ends[k]
-                own, key = ids[a:b], (int(h1[a]), int(h2[a]))
-                n = 1 + int((own[1:] != own[:-1]).sum())
-                if found and (found[-1][0], found[-1][1]) == key:
-                    found[-1][2] += n - (found[-1][4] == int(own[0]))
-                    found[-1][4] = int(own[-1])
-                else:
-                    found.append([*key, n, int(own[0]), int(own[-1])])
-            found = [found[0], *found[1:][-1:]]
-        rows = list(zip(*found)) if found else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["h1", "h2", "docs", "top", "low"])
-
-    return run
 
+def _stream(min_docs: int):
+    """Of a sorted partition: the rows that go, and, marked open, the rows of its first and its last key."""
 
-def _merged(edges: list) -> dict[tuple[int, int], tuple[int, int]]:
-    """Key: (documents, largest id) over all partitions that the key's rows reach. edges: in order of partitions."""
-    out: dict[tuple[int, int], list[int]] = {}
-    for e in edges:
-        own = out.get((e.h1, e.h2))
-        if own is None:
-            out[e.h1, e.h2] = [e.docs, e.top, e.low]
-        else:
-            out[e.h1, e.h2] = [own[0] + e.docs - (own[2] == e.top), max(own[1], e.top), e.low]
-    return {k: (v[0], v[1]) for k, v in out.items()}
+    def key(rows: list[np.ndarray], at: int) -> tuple[int, int]:
+        return int(rows[0][at]), int(rows[1][at])
 
+    def given(rows: list[np.ndarray], chosen: np.ndarray | slice, is_open: bool) -> pa.RecordBatch:
+        from pyspark import TaskContext
 
-def _stream(min_docs: int, known: dict[tuple[int, int], tuple[int, int]]):
-    """Rows of a sorted partition whose lines go. known: the keys at edges of partitions; others end in their partition."""
-    import pickle
+        columns = [pa.array(x[chosen]) for x in rows]
+        n = len(columns[0])
+        part = pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, is_open)), part, *columns], names=["open", "part", *_COLUMNS])
 
-    blob = zlib.compress(pickle.dumps(known))
+    def goes(rows: list[np.ndarray]) -> np.ndarray:
+        """Rows of whole keys."""
+        starts, ids = _starts(rows), rows[2]
+        run = np.zeros(len(ids), np.int64)
+        run[starts[1:]] = 1
+        run = np.cumsum(run)
+        new = np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])]
+        docs = np.add.reduceat(new.astype(np.int64), starts)
+        return (docs[run] >= min_docs) & (ids != ids[starts][run])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_edge = pickle.loads(zlib.decompress(blob))
-        held: pa.RecordBatch | None = None  # rows of the last key so far: it may go on
+        first: tuple[int, int] | None = None
+        held: list[list[np.ndarray]] = []  # rows of the last key so far, which may go on
         for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
             if not batch.num_rows:
                 continue
-            last = _last_start(batch)
-            key = (batch.column(0)[last].as_py(), batch.column(1)[last].as_py())
-            if key in at_edge:  # decided by what is known
-                yield _decided(batch, min_docs, at_edge)
-                held = None
+            rows = [batch.column(i).to_numpy() for i in range(len(_COLUMNS))]
+            first = first or key(rows, 0)
+            if held and key(rows, -1) == key(held[0], 0):
+                held.append(rows)
+                continue
+            if held:
+                rows = [np.concatenate(x) for x in zip(*held, rows)]
+            starts = _starts(rows)
+            begin = int(starts[1]) if key(rows, 0) == first and len(starts) > 1 else 0
+            last = int(starts[-1])
+            if begin:
+                yield given(rows, slice(0, begin), True)
+            if begin < last:
+                inner = [x[begin:last] for x in rows]
+                yield given(inner, goes(inner), False)
+            tail = [x[last:] for x in rows]
+            if key(tail, 0) == first:
+                yield given(tail, slice(None), True)
+                held = []
             else:
-                held = batch.slice(last)
-                yield _decided(batch.slice(0, last), min_docs, at_edge)
-        if held is not None:
-            yield _decided(held, min_docs, at_edge)
+                held = [tail]
+        for rows in held:
+            yield given(rows, slice(None), True)
 
     return run
 
 
-def _last_start(batch: pa.RecordBatch) -> int:
-    h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    other = np.flatnonzero((h1 != h1[-1]) | (h2 != h2[-1]))
-    return int(other[-1]) + 1 if len(other) else 0
-
-
-def _decided(batch: pa.RecordBatch, min_docs: int, at_edge: dict) -> pa.RecordBatch:
-    h1, h2, ids = (batch.column(i).to_numpy() for i in range(3))
-    drop = np.zeros(len(ids), bool)
-    if len(ids):
-        starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        run = np.cumsum(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) - 1
-        new = np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])]
-        docs, top = np.add.reduceat(new.astype(np.int64), starts), ids[starts].copy()
-        for k in range(0, len(starts)) if len(starts) <= 2 else (0, len(starts) - 1):
-            if (edge := at_edge.get((int(h1[starts[k]]), int(h2[starts[k]])))) is not None:
-                docs[k], top[k] = edge
-        drop = (docs[run] >= min_docs) & (ids != top[run])
-    return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in (ids[drop], batch.column(3).to_numpy()[drop], batch.column(4).to_numpy()[drop], batch.column(5).filter(pa.array(drop)))], names=["id", "th", "n_lines", "places"])
-
-
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """__id, __th, n_lines int, n_dropped int, keep binary: for each document that loses lines, a zlib-compressed bitmap with 1 for each line kept."""
-    ship(docs.sparkSession)
-    width = shuffle_width(docs, 16 << 20)
-    rows = line_rows(keyed(docs, id_col, text_col), min_chars)
-    lined = cut(rows.repartitionByRange(width, "h1", "h2", F.col("id").desc()).sortWithinPartitions("h1", "h2", F.col("id").desc()))
-    part = F.spark_partition_id()
-    ends = lined.mapInArrow(_edges(), "h1 long, h2 long, docs long, top long, low long").withColumn("part", part)
-    found = ends.collect()  # two rows a partition at most
-    order = sorted(range(len(found)), key=lambda i: found[i].part)  # stable: a partition's rows stay in order
-    dropped = lined.mapInArrow(_stream(min_docs, _merged([found[i] for i in order])), "id long, th long, n_lines int, places binary")
+    spark = docs.sparkSession
+    ship(spark)
+    rows = cut(line_rows(keyed(docs, id_col, text_col), min_chars))  # ranges are drawn and dealt from what is stored
+    order = ["h1", "h2", F.col("id").desc()]
+    lined = rows.repartitionByRange(width_for(spark, rows.count(), RANGE_ROWS), *order).sortWithinPartitions(*order, "place")
+    found = cut(lined.mapInArrow(_stream(min_docs), f"open boolean, part int, {_ROW}"))
+    left_open = found.where("open")
+    ends = left_open.groupBy("part", "h1", "h2").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("top"), F.min("id").alias("low"))
+    by_key = W.partitionBy("h1", "h2")  # a row a partition that the key reaches
+    goes_on = F.coalesce(F.lag("low").over(by_key.orderBy("part")) == F.col("top"), F.lit(False)).cast("int")  # one document in two partitions
+    known = ends.withColumn("docs", F.col("docs") - goes_on).select("part", "h1", "h2", F.sum("docs").over(by_key).alias("docs"), F.max("top").over(by_key).alias("top"))
+    decided = left_open.join(known.where(F.col("docs") >= min_docs), ["part", "h1", "h2"]).where("id <> top")
+    dropped = found.where("not open").select("id", "th", "n_lines", "place").unionByName(decided.select("id", "th", "n_lines", "place"))
 
     @F.pandas_udf("struct<n_dropped:int,keep:binary>")
     def bitmap(n_lines, places):
         import pandas as pd
 
         out = []
-        for n, blobs in zip(n_lines, places):
+        for n, gone in zip(n_lines, places):
             keep = np.ones(n, bool)
-            keep[np.frombuffer(b"".join(dict.fromkeys(blobs)), np.int32)] = False
+            keep[gone] = False
             out.append((int((~keep).sum()), zlib.compress(np.packbits(keep).tobytes())))
         return pd.DataFrame(out, columns=["n_dropped", "keep"])
 
-    gathered = dropped.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.max("n_lines").alias("n_lines"), F.collect_set("places").alias("places"))
+    gathered = dropped.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.max("n_lines").alias("n_lines"), F.collect_set("place").alias("places"))
     return gathered.select("__id", "__th", "n_lines", bitmap("n_lines", "places").alias("b")).select("__id", "__th", "n_lines", "b.n_dropped", "b.keep")
 
 
