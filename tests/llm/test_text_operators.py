@@ -66,6 +66,17 @@ def test_mixing_can_be_undone():
     assert np.array_equal(substring.unmixed(substring.mixed(h)), h)
 
 
+def test_labels_fill_each_partition_once(spark):
+    import numpy as np
+
+    from textloom.llm.common import dealt_labels, murmur3
+
+    numbers = [0, 1, -1, 1 << 40, -(1 << 63), 12345678901]
+    assert [r.h for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(F.hash("n").alias("h")).collect()] == murmur3(np.array(numbers)).tolist()
+    names = spark.createDataFrame([(int(n),) for n in dealt_labels(13)], "n long").repartition(13, "n")
+    assert sorted(r.p for r in names.select(F.spark_partition_id().alias("p")).collect()) == list(range(13))
+
+
 def test_windows_are_found_by_the_automaton_alone(monkeypatch):
     """Without its hits nothing is located, and a phrase from elsewhere locates windows that no anchor of the bucket names."""
     import ahocorasick

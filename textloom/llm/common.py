@@ -55,3 +55,34 @@ def pieces(batches: Iterable[pa.RecordBatch], name: str, limit: int = FLUSH_BYTE
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+
+
+def dealt_labels(width: int) -> np.ndarray:
+    """One number for each of width partitions, which Spark's hash partitioning (Murmur3, seed 42) deals there.
+
+    Groups that are named so fill each partition of repartition(width, name) with one group. Only balance depends on it.
+    """
+    out, left, at = np.full(width, -1, np.int64), width, 0
+    while left:
+        tried = np.arange(at, at + 4 * width, dtype=np.int64)
+        parts, first = np.unique(murmur3(tried).astype(np.int64) % width, return_index=True)
+        new = out[parts] < 0
+        out[parts[new]] = tried[first[new]]
+        left, at = left - int(new.sum()), at + 4 * width
+    return out
+
+
+def murmur3(numbers: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash() of a long column."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    h = np.full(len(numbers), seed, np.uint32)
+    for half in (numbers & 0xFFFFFFFF, numbers >> 32):
+        h ^= turned(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, multiplier in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(multiplier)
+    return h.astype(np.int32)

@@ -34,12 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, keyed
+from textloom.llm.common import NULL_ID, dealt_labels, keyed
 from textloom.session import ship, text_bytes, width_for
 
 WINDOW, PHRASE = 35, 8
-#: Text of a bucket, of the buckets in a task, and for each part.
-BUCKET_BYTES, TASK_BYTES, PART_BYTES = 2 << 20, 16 << 20, 4 << 20
+#: Text of a bucket, and of the buckets in a task.
+BUCKET_BYTES, TASK_BYTES = 2 << 20, 16 << 20
 #: Rows of one id and text are dealt over so many buckets.
 SPREAD = 64
 _FACTORS = (0xD6E8FEB86659FD95, 0xA0761D6478BD642D)
@@ -128,9 +128,9 @@ def ordered(items: np.ndarray) -> np.ndarray:
 
 
 class Packed:
-    """Distinct items in order, each in the part of its first bits; what is twice here is known to recur."""
+    """Distinct items in order, each in the part of its first bits; what is twice here is known to recur. parts: their labels."""
 
-    def __init__(self, items: np.ndarray, parts: int):
+    def __init__(self, items: np.ndarray, parts: np.ndarray):
         self.order = ordered(items)
         flat = items[self.order]
         first = np.r_[True, (flat[1:] != flat[:-1]).any(axis=1)][: len(flat)]
@@ -138,15 +138,15 @@ class Packed:
         self.group = np.cumsum(first) - 1
         self.twice = np.diff(np.r_[at, len(flat)]) > 1
         self.items = flat[at]
-        part = (self.items[:, 0] >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)
-        self.edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        part = (self.items[:, 0] >> np.uint64(33)) * np.uint64(len(parts)) >> np.uint64(31)
+        self.labels, self.edges = parts, np.searchsorted(part, np.arange(len(parts) + 1, dtype=np.uint64))
 
     def questions(self, bucket: int) -> pa.Table:
         rows = []
         for p in np.flatnonzero(np.diff(self.edges)).tolist():
             own = slice(self.edges[p], self.edges[p + 1])
             items, twice = self.items[own], self.twice[own]
-            rows.append((bucket, p, items[~twice].tobytes(), items[twice].tobytes(), None))
+            rows.append((bucket, int(self.labels[p]), items[~twice].tobytes(), items[twice].tobytes(), None))
         return pa.table(list(zip(*rows)) or [[]] * 5, schema=_ASK)
 
     def recurring(self, answers: dict[int, bytes]) -> np.ndarray:
@@ -156,7 +156,7 @@ class Packed:
             own = np.arange(self.edges[p], self.edges[p + 1])
             once = own[~self.twice[own]]
             if len(once):
-                known[once] = np.unpackbits(np.frombuffer(answers[p], np.uint8), count=len(once)).astype(bool)
+                known[once] = np.unpackbits(np.frombuffer(answers[int(self.labels[p])], np.uint8), count=len(once)).astype(bool)
         out = np.zeros(len(self.order), bool)
         out[self.order] = known[self.group]
         return out
@@ -320,7 +320,8 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ship(spark)
     total = text_bytes(docs, text_col)
-    width, buckets, parts = (width_for(spark, total, each) for each in (TASK_BYTES, BUCKET_BYTES, PART_BYTES))
+    width, buckets = (width_for(spark, total, each) for each in (TASK_BYTES, BUCKET_BYTES))
+    parts = dealt_labels(width)  # a part a task
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
     held = keyed(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("__id", "__th", salt), F.lit(buckets))).repartition(width, "bucket")
 
@@ -335,14 +336,14 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bucket = Bucket(_texts(rows), window, phrase)
         starts = bucket.located(np.frombuffer(b"".join(_answers(replies, PHRASES).values()), np.uint64))
         asked = Packed(bucket.windows(starts), parts).questions(number)
-        note = pa.table([[number], [number % parts], [None], [None], [to_runs(starts)]], schema=_ASK)
+        note = pa.table([[number], [int(parts[number % width])], [None], [None], [to_runs(starts)]], schema=_ASK)
         return pa.concat_tables([asked, note])
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _RESULT.empty_table()
         bucket = Bucket(_texts(rows), window, phrase)
-        starts = from_runs(_answers(replies, NOTES)[rows["bucket"][0].as_py() % parts])
+        starts = from_runs(_answers(replies, NOTES)[int(parts[rows["bucket"][0].as_py() % width])])
         repeated = Packed(bucket.windows(starts), parts).recurring(_answers(replies, WINDOWS))
         gone = bucket.gone(starts[repeated])
         removed = np.diff(np.r_[0, np.cumsum(gone)][bucket.edges])
