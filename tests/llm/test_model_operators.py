@@ -70,6 +70,25 @@ def test_components_of_a_chain(spark):
     assert {r.v: r.component for r in got} == {i: 0 if i < n else i for i in range(n + 2)}
 
 
+def test_components_of_stars_and_odd_links(spark):
+    """A centre that many vertices name is a hot key; loops, repeats and null ends are no links."""
+    pairs = [(7, i) for i in range(100, 500)] + [(900 - i, 900) for i in range(1, 300)] + [(3, 3), (None, 4), (4, None), (7, 100), (499, 620)]
+    got = components(spark.range(1000).selectExpr("id as v"), spark.createDataFrame(pairs, "a long, b long")).collect()
+    one = {7, *range(100, 500), *range(601, 901)}
+    assert {r.v: r.component for r in got} == {i: 7 if i in one else i for i in range(1000)}
+    assert components(spark.range(0).selectExpr("id as v"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spread_join(spark):
+    from textloom.llm import common
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(600)] + [(None, -1)], "k long, x long")
+    table = spark.createDataFrame([(i, i * 10) for i in range(0, 600, 2)] + [(1, 5), (None, 9)], "k long, y long")
+    assert common.hot_keys(rows, "k") == [1]
+    for how in ("left", "inner"):
+        assert sorted(common.spread_join(rows, table, "k", how).collect(), key=str) == sorted(rows.join(table, "k", how).collect(), key=str)
+
+
 def test_bit_counts():
     h = np.random.default_rng(0).integers(0, 1 << 63, 70_000, dtype=np.uint64)
     assert simhash.bit_counts(h).tolist() == [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]

@@ -37,6 +37,27 @@ def public_id(column: str = "__id") -> Column:
     return F.when(F.col(column) != F.lit(NULL_ID), F.col(column)).alias("doc_id")
 
 
+#: A key with more than a HOT_SHARE-th of the rows is hot; so there are fewer than HOT_SHARE hot keys. Its rows go to SLICES places.
+HOT_SHARE, SLICES = 256, 64
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The values that more than one row in HOT_SHARE has: fewer than HOT_SHARE of them, whatever rows holds."""
+    least = rows.count() / HOT_SHARE
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with table on key. Rows of a hot key are dealt to SLICES places, and the table's rows for it repeated there.
+
+    rows are read for their hot keys first, so they have to be cheap to read twice.
+    """
+    hot = F.col(key).isin(hot_keys(rows, key))
+    slot = F.when(hot, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SLICES))).otherwise(F.lit(0).cast("long"))
+    slots = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return rows.withColumn("__slot", slot).join(table.withColumn("__slot", F.explode(slots)), [key, "__slot"], how).drop("__slot")
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 

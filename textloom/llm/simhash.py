@@ -5,7 +5,8 @@ that differ in at most `distance` bits agree in at least blocks - distance of th
 the C(blocks, blocks - distance) keys. Only distinct fingerprints take part, each as the smallest doc_id that has it, so
 exact copies never meet. The fingerprints under a key are compared with XOR and bit counts, and a key gives a star for
 each connected group in it, not its pairs. Keys over GROUP fingerprints are cut into slices of that size, and each two
-slices meet in a task of their own, so no task takes in more than two slices. Links become components by contraction.
+slices meet in a group of their own of two slices at most. Links become components by contraction. Where components
+are brought back to documents, a fingerprint that many copies share is dealt to several places.
 
 Defined results: null and wordless texts have fingerprint zero and link like others. Repeated rows and rows of one id
 each get a row. A null id counts as the smallest. Whole texts are hashed.
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ASCII_LOWER, keyed, pieces, public_id, texts
+from textloom.llm.common import ASCII_LOWER, keyed, pieces, public_id, spread_join, texts
 from textloom.llm.components import components
-from textloom.session import cut, ship
+from textloom.session import cut, ship, shuffle_partitions
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints under one key that are compared in one task.
@@ -119,13 +120,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     keyed_rows = distinct.select("fp", "rep", F.explode(F.array(*[key(i, c) for i, c in enumerate(choices)])).alias("k"))
     sizes = keyed_rows.groupBy("k").agg(F.count("*").alias("n"))
-    keyed_rows = keyed_rows.join(sizes.where("n > 1"), "k")
+    keyed_rows = spread_join(keyed_rows, sizes.where("n > 1"), "k", "inner")
     slices = F.ceil(F.col("n") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("fp"), slices).cast("int")
     met = keyed_rows.select("k", "fp", "rep", own.alias("s"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("t"))
     met = met.select("k", "fp", "rep", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = met.repartition(width, "k", "s", "t").sortWithinPartitions("k", "s", "t", "rep")
+    dealt = met.repartition(shuffle_partitions(spark), "k", "s", "t").sortWithinPartitions("k", "s", "t", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -166,5 +166,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A doc_id with several texts has several fingerprints: they share their representative, so they link.
     vertices = distinct.select(F.col("rep").alias("v")).distinct()
     grouped = components(vertices, links(distinct, distance))
-    by_fp = distinct.join(grouped, F.col("rep") == F.col("v")).select("fp", "component")
-    return marked.join(by_fp, "fp").select(public_id(), "__id", "__th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != F.lit(-(1 << 63)), F.col("component")).alias("component_id"))
+    by_fp = spread_join(distinct, grouped.withColumnRenamed("v", "rep"), "rep", "inner").select("fp", "component")
+    return spread_join(marked, by_fp, "fp", "inner").select(public_id(), "__id", "__th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != F.lit(-(1 << 63)), F.col("component")).alias("component_id"))
