@@ -2,12 +2,16 @@
 
 An item is cut into windows of `window` words; an item of fewer words is one window. A document holds a window only if
 it holds the window's rarest word, so for exact containment a prefix of one token is enough: words are ordered by the
-number of documents that have them, each window is indexed by its rarest word and that word's place, and documents meet
-the index on it. Bounds on place and length drop what can't fit (the window would begin before or end after the text);
-what is left is compared word by word. All of it is DataFrame operations.
+number of documents that have them, and each window is indexed by its rarest word and that word's place.
 
-An index of at most MAX_INLINE_TOKENS tokens and MAX_WINDOWS windows is small by its own count: tokens become a set in
-the filter and windows are broadcast. A larger one is joined by shuffle over all words, with the same result.
+1. Tokens of the index are marked in a bitmap of a fixed size, which is broadcast. Words of documents that miss it end
+   there; the others take their neighbours along.
+2. They meet the index's shapes, (token, place, words in the window): a token has few of them, however many windows.
+   Bounds on place and length drop shapes that would begin before or end after the text.
+3. What is left names one stretch of words for each shape; it joins the windows by a hash and is compared word by word.
+
+All of it is DataFrame operations, and one plan at every size of documents and benchmark. A token that many documents
+have, and a window that many documents hold, are dealt to several places.
 
 Words: A-Z lower-cased, then runs of characters other than ASCII ones that are no letters or digits. Defined results:
 null texts have no words; items without words have no windows. Repeated rows each get their row; a null doc_id is a
@@ -19,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keyed, lower_az, public_id
+from textloom.llm.common import keyed, lower_az, public_id, spread_join
 from textloom.llm.rules import let
+from textloom.session import cut
 
 WINDOW = 10
-MAX_INLINE_TOKENS, MAX_WINDOWS = 20_000, 200_000
+#: Numbers of 64 bits in a bitmap of tokens: half a megabyte.
+MASK_LONGS = 1 << 16
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -31,45 +37,61 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_az(F.coalesce(text.cast("string"), F.lit(""))), _BETWEEN), lambda w: w != "")
 
 
+def _places(token: Column) -> tuple[Column, Column]:
+    """The two bits of a token in a bitmap."""
+    h = F.xxhash64(token)
+    return tuple(F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(64 * MASK_LONGS - 1)) for shift in (0, 32))
+
+
+def bitmap(tokens: DataFrame) -> DataFrame:
+    """mask array<long>: one row, of a fixed size, that has the bits of all tokens set."""
+    bit = tokens.select(F.explode(F.array(*_places(F.col("token")))).alias("p"))
+    longs = bit.groupBy(F.shiftrightunsigned("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x"))
+    every = tokens.sparkSession.range(MASK_LONGS).select(F.col("id").alias("i")).join(longs, "i", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", F.lit(0).cast("long")).alias("x"))))
+    return every.agg(F.transform(ordered, lambda s: s["x"]).alias("mask"))
+
+
+def _marked(token: Column, mask: Column) -> Column:
+    """Whether both bits are set; true for a few other words too."""
+    a, b = (F.getbit(F.get(mask, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) for p in _places(token))
+    return (a == 1) & (b == 1)
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """w array<string>, items array<string>: the distinct windows, with the ids of the items that have them."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
-    cut = items.select("item", F.explode(let(F.col("ws"), lambda ws: F.transform(starts, lambda i: F.slice(ws, i, window)))).alias("w"))
-    return cut.groupBy("w").agg(F.collect_set("item").alias("items"))
+    runs = items.select("item", F.explode(let(F.col("ws"), lambda ws: F.transform(starts, lambda i: F.slice(ws, i, window)))).alias("w"))
+    return runs.groupBy("w").agg(F.collect_set("item").alias("items"))
 
 
-def rarity(docs: DataFrame, vocabulary: DataFrame, few: bool) -> DataFrame:
+def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """token, n: in how many documents each token of the vocabulary is; those in none are absent. docs: rows of keyed()."""
-    own = F.array_distinct(words(F.col("__text")))
-    if few:
-        listed = [r.token for r in vocabulary.collect()]
-        return docs.select(F.explode(F.filter(own, lambda w: w.isin(listed))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return docs.select(F.explode(own).alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(vocabulary, "token", "left_semi")
+    masked = docs.select("__text").crossJoin(F.broadcast(bitmap(vocabulary)))  # one row of a fixed size
+    own = masked.select(F.explode(F.filter(F.array_distinct(words(F.col("__text"))), lambda w: _marked(w, F.col("mask")))).alias("token"))
+    return own.groupBy("token").agg(F.count("*").alias("n")).join(vocabulary, "token", "left_semi")
 
 
 def index(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """token, at int (the token's place in the window), w, items: each window under its rarest word."""
-    vocabulary = windows.select(F.explode("w").alias("token")).distinct()
-    counts = rarity(docs, vocabulary, vocabulary.count() <= MAX_INLINE_TOKENS)
-    placed = windows.select("w", "items", F.posexplode("w").alias("at", "token")).join(counts, "token", "left")
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at"))
-    return placed.groupBy("w").agg(F.first("items").alias("items"), best.alias("b")).where("b.n > 0").select("b.token", "b.at", "w", "items")
+    """token, at int (the token's place in the window), size int, w, items: each window under its rarest word."""
+    vocabulary = cut(windows.select(F.explode("w").alias("token")).distinct())
+    placed = cut(windows.select("w", F.posexplode("w").alias("at", "token")))
+    counted = spread_join(placed, rarity(docs, vocabulary), "token")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at"))
+    best = counted.groupBy("w").agg(rarest.alias("b")).where("b.n > 0").select("w", "b.token", "b.at")
+    return best.join(windows, "w").select("token", "at", F.size("w").alias("size"), "w", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, __id, __th, n_words long, spans array<struct<start,end>> (occurrences of windows, sorted), items array<string> (sorted)."""
-    held = keyed(docs, id_col, text_col)
-    found = index(held, item_windows(benchmark, window, item_col, item_text)).persist()
-    tokens = found.select("token").distinct()
-    n_tokens, n_windows = tokens.count(), found.count()
-    small = n_tokens <= MAX_INLINE_TOKENS and n_windows <= MAX_WINDOWS
-    listed = [r.token for r in tokens.collect()] if small else []
+def candidates(docs: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
+    """A row for each row of keyed(), with i = -1, and one for each of its words that the bitmap of tokens has.
+
+    __id, __th, n (words), token, i (its place), before (words of near that come before it), near (its neighbours, itself included).
+    """
 
     def spots(ws: Column) -> Column:
         n = F.size(ws)
-        marked = F.transform(ws, lambda w, i: F.struct(w.alias("token"), i.alias("i")))
-        marked = F.filter(marked, lambda x: x["token"].isin(listed)) if small else marked
+        marked = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("token"), i.alias("i"))), lambda x: _marked(x["token"], F.col("mask")))
 
         def around(x: Column) -> Column:
             before = F.least(x["i"], F.lit(window - 1))
@@ -78,19 +100,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
         none = F.struct(F.lit(None).cast("string").alias("token"), F.lit(-1).alias("i"), F.lit(0).alias("before"), F.array().cast("array<string>").alias("near"), n.alias("n"))
         return F.concat(F.array(none), F.transform(marked, around))  # the first is the document's own row
 
-    spread = held.select("__id", "__th", F.explode(let(words(F.col("__text")), spots)).alias("x")).select("__id", "__th", "x.*")
-    joined = spread.join(F.broadcast(found) if small else found, "token", "left")
+    masked = docs.crossJoin(F.broadcast(bitmap(tokens)))  # one row of a fixed size
+    return masked.select("__id", "__th", F.explode(let(words(F.col("__text")), spots)).alias("x")).select("__id", "__th", "x.*")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, __id, __th, n_words long, spans array<struct<start,end>> (occurrences of windows, sorted), items array<string> (sorted)."""
+    held = keyed(docs, id_col, text_col)
+    found = cut(index(held, cut(item_windows(benchmark, window, item_col, item_text))))
+    rows = cut(candidates(held, found.select("token").distinct(), window))
+    shaped = spread_join(rows.where("i >= 0"), found.select("token", "at", "size").distinct(), "token", "inner")
     start = F.col("i") - F.col("at")
-    fits = (F.col("at") <= F.col("before")) & (start + F.size("w") <= F.col("n")) & (F.slice("near", F.col("before") - F.col("at") + 1, F.size("w")) == F.col("w"))
-    kept = joined.where((F.col("i") < 0) | fits).select(
-        "__id", "__th", "n", (F.col("i") < 0).alias("own"),
-        F.when(F.col("i") >= 0, F.struct(start.alias("start"), (start + F.size("w")).alias("end"))).alias("span"), F.when(F.col("i") >= 0, F.col("items")).alias("items"),
-    )
-    by_doc = kept.groupBy("__id", "__th").agg(
-        F.count_if("own").alias("copies"), F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    return by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(public_id(), "__id", "__th", "n_words", "spans", "items")
+    fits = shaped.where((F.col("at") <= F.col("before")) & (start + F.col("size") <= F.col("n")))
+    stretches = fits.select("__id", "__th", start.alias("start"), (start + F.col("size")).alias("end"), F.slice("near", F.greatest(F.col("before") - F.col("at") + 1, F.lit(1)), F.col("size")).alias("own"))
+    named = cut(stretches.withColumn("h", F.xxhash64("own")).join(found.select(F.xxhash64("w").alias("h")), "h", "left_semi"))
+    matched = spread_join(named, found.select(F.xxhash64("w").alias("h"), "w", "items"), "h", "inner").where("own = w")
+    by_doc = matched.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    own = rows.where("i < 0").select("__id", "__th", F.col("n").cast("long").alias("n_words"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    both = own.join(by_doc, ["__id", "__th"], "left")
+    return both.select(public_id(), "__id", "__th", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def covered(spans: str = "spans") -> Column:
