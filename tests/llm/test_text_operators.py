@@ -229,5 +229,66 @@ def test_token_counts(spark, tmp_path):
     assert rows() == sorted(want[:2], key=str) and not store.commit("two", tokencounts.changes(docs, "space-1"))
     store.commit("three", tokencounts.changes(docs, "marks-2"))
     assert {(r.tokenizer_version, r.n_tokens) for r in store.totals().where("lang = 'en' and source = 's'").collect()} == {("space-1", 3), ("marks-2", 4)}
-    with pytest.raises(ValueError):
-        store.commit("a/b", tokencounts.changes(docs, "space-1"))
+    before = rows()
+    store.compact()
+    assert rows() == before
+    for name in ("a/b", "a@b", "", ".a"):
+        with pytest.raises(ValueError):
+            store.commit(name, tokencounts.changes(docs, "space-1"))
+
+
+def test_token_counts_survive_failures_and_races(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " * i, "en", "s") for i in range(5)], "doc_id long, text string, lang string, source string")
+    rows = tokencounts.changes(docs, "space-1")
+    store = tokencounts.Rollup(spark, f"{tmp_path}/store")
+    total = lambda: [tuple(r) for r in store.totals().collect()]
+
+    def fails(*names):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # the driver goes after the deltas are written
+        m.setattr(store, "_mark", fails)
+        with pytest.raises(RuntimeError):
+            store.commit("one", rows)
+    assert total() == []
+    assert store.commit("one", rows)
+    want = total()
+    other = tokencounts.Rollup(spark, f"{tmp_path}/store")
+    with monkeypatch.context() as m:  # two attempts at once: the second hasn't seen the first
+        seen = [{}]
+        m.setattr(other, "committed", lambda: seen.pop() if seen else tokencounts.Rollup.committed(other))
+        other.commit("one", rows)
+    assert len(store._marks("commits")) == 2 and total() == want
+    store.commit("two", rows)
+    doubled = total()
+    assert [(n, t) for *_, n, t, _ in doubled] == [(2 * n, 2 * t) for *_, n, t, _ in want]
+    with monkeypatch.context() as m:  # a fold that fails
+        m.setattr(store, "_mark", fails)
+        with pytest.raises(RuntimeError):
+            store.compact()
+    assert total() == doubled
+    read = store._read
+
+    def slow(*args):  # a batch is committed while a fold runs
+        other.commit("three", rows)
+        return read(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_read", slow)
+        store.compact()
+    assert [t[3] for t in total()] == [15] and not store.commit("three", rows)
+    other.compact()
+    assert [t[3] for t in total()] == [15]
+    store._mark("folds", "2", "0")  # another fold of that number, whose folder doesn't win
+    assert [t[3] for t in total()] == [15]
+
+
+def test_maintained_counts(spark, tmp_path):
+    text = "word " * 30
+    rows = [(1, text + "me@example.org and you@example.org"), (2, "short"), (3, None), (None, text), (4, text * 3000), (4, text * 3000)]
+    docs = frame(spark, rows)
+    got = {(r.source, r.tokenizer_version): (r.n_docs, r.n_tokens, r.n_chars) for r in tokencounts.maintained(docs, f"{tmp_path}/store").collect()}
+    src = {k: [t for i, (_, t) in enumerate(rows) if i % 3 == k and len((t or "").split()) >= 20] for k in range(3)}
+    masked = {k: [t.replace("me@example.org", "[masked address]").replace("you@example.org", "[masked address]") for t in ts] for k, ts in src.items()}
+    assert {k: v for k, v in got.items() if k[1] == "space-1"} == {(f"src{k}", "space-1"): (len(ts), sum(len(t.split()) for t in ts), sum(map(len, ts))) for k, ts in masked.items() if ts}
+    assert tokencounts.maintained(frame(spark, []), f"{tmp_path}/none").count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textloom.llm.rules import STOP_WORDS, THRESHOLDS
+from textloom.llm.tokencounts import ADDRESS, LEAST_WORDS, MASK
 from textloom.llm.urlfilter import DEFAULT_VERDICT, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,10 +66,11 @@ with w as (select doc_id, coalesce(text, '') as t, {_WORDS} as ws, list_filter(s
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({" or ".join(tests)}) as kept from q"""
 
 
-TOKEN_COUNTS = r"""
-with d as (select source, lang, coalesce(text, '') as t from documents),
+#: The end of a corpus's life: short texts are gone, addresses are masked.
+TOKEN_COUNTS = rf"""
+with d as (select source, lang, regexp_replace(coalesce(text, ''), '{ADDRESS}', '{MASK}', 'g') as t from documents where len({_WORDS}) >= {LEAST_WORDS}),
  v as (select source, lang, 'space-1' as tokenizer_version, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as n, length(t) as c from d
-  union all select source, lang, 'marks-2', len(regexp_extract_all(t, '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')), length(t) from d)
+  union all select source, lang, 'marks-2', len(regexp_extract_all(t, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+|[!-/:-@\[-`{{-~]')), length(t) from d)
 select source, lang, tokenizer_version, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_tokens, cast(sum(c) as bigint) as n_chars from v group by all"""
 
 DECONTAMINATION = rf"""

@@ -1,10 +1,16 @@
 """Token counts as delta-maintained rollups.
 
 Totals by source, language and tokenizer version are sums of signed deltas: an insert adds a document's counts, a delete
-takes them away, a revision takes the old and adds the new. A batch of changes is summed by key before it is stored and
-becomes one folder of the store; it counts from the moment its file of the committed batches is there, and a batch id
-that is committed already changes nothing, so a batch can be sent again after a failure. Totals are the sums over
-committed batches; compact() folds them into one.
+takes them away, a revision takes the old and adds the new. A batch of changes is summed by key before it is stored.
+
+The store is a folder that only ever gains files:
+  deltas/<folder>          the sums of one attempt at a batch, or of several batches folded into one
+  commits/<batch>@<folder> an empty file, created at once or not at all: the batch counts, by this folder
+  folds/<number>@<folder>  the same for a fold; deltas/<folder>-batches lists the batches that it stands for
+An attempt that fails before its file is there leaves nothing that counts. A batch counts once: if several attempts get
+as far, the first folder by name counts, and as attempts at a batch carry the same rows, it doesn't matter which. Totals
+are the latest fold and the batches that it doesn't stand for. As no file is moved or changed, readers, writers and folds
+at once don't harm each other, and a fold that fails or is beaten by another costs nothing but its folder.
 
 Defined results: null texts count as empty documents; null sources, languages and versions are keys of their own.
 Repeated rows each count. A key whose sums are all zero has no row. An empty store has no totals.
@@ -12,6 +18,7 @@ Repeated rows each count. A key whose sums are all zero has no row. An empty sto
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,66 +71,86 @@ class Rollup:
     def _at(self, *names: str):
         return self._hadoop("/".join([self.path, *names]))
 
-    def committed(self) -> dict[str, str]:
-        """Batch id: folder of its deltas."""
-        root = self._at("commits")
+    def _marks(self, kind: str) -> list[tuple[str, str]]:
+        """(name, folder) of the files under commits or folds, in order of folders from the last."""
+        root = self._at(kind)
         if not self._fs.exists(root):
-            return {}
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return dict(n.split("@", 1) for n in names if "@" in n and not n.startswith("."))
+        return sorted((tuple(n.split("@", 1)) for n in names if "@" in n and not n.startswith(".")), key=lambda x: x[1], reverse=True)
 
-    def commit(self, batch: str, rows: DataFrame) -> bool:
-        """Store a batch of signed rows; False if that batch is committed already.
+    def _mark(self, kind: str, name: str, folder: str) -> None:
+        self._fs.mkdirs(self._at(kind))
+        self._fs.createNewFile(self._at(kind, f"{name}@{folder}"))
 
-        Deltas are written to a folder of this attempt's own, then one rename makes them count: attempts that fail leave
-        no trace in the totals, and of attempts at once only one counts.
-        """
-        if not batch or "@" in batch or "/" in batch:
+    def committed(self) -> dict[str, str]:
+        """Batch id: folder of the deltas that count."""
+        return dict(self._marks("commits"))
+
+    def folded(self) -> tuple[int, str | None, set[str]]:
+        """(number, folder, batch ids) of the latest fold."""
+        number, folder = max(((int(n), f) for n, f in self._marks("folds")), default=(0, None))
+        if folder is None:
+            return 0, None, set()
+        return number, folder, {r[0] for r in self.spark.read.schema("batch string").text(f"{self.path}/deltas/{folder}-batches").collect()}
+
+    def commit(self, batch: str, rows: DataFrame) -> bool:
+        """Store a batch of signed rows; False, and no change, if that batch counts already."""
+        if not batch or set("@/\n") & set(batch) or batch.startswith("."):
             raise ValueError(f"not a batch id: {batch!r}")
         if batch in self.committed():
             return False
         folder = uuid.uuid4().hex
         summed(rows).write.parquet(f"{self.path}/deltas/{folder}")
-        self._fs.mkdirs(self._at("commits"))
-        claim = self._at("claims", batch)
-        self._fs.mkdirs(self._at("claims"))
-        if not self._fs.createNewFile(claim) and batch in self.committed():
-            return False
-        self._fs.createNewFile(self._at("commits", f"{batch}@{folder}"))
-        return True
+        self._mark("commits", batch, folder)
+        return self.committed()[batch] == folder
 
-    def totals(self) -> DataFrame:
-        folders = sorted(set(self.committed().values()))
+    def _read(self, known: dict[str, str], fold: str | None, within: set[str]) -> DataFrame:
+        folders = [f for b, f in sorted(known.items()) if b not in within] + ([fold] if fold else [])
         if not folders:
             return self.spark.createDataFrame([], self.SCHEMA)
         return summed(self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/deltas/{f}" for f in folders]))
 
+    def totals(self) -> DataFrame:
+        _, fold, within = self.folded()
+        return self._read(self.committed(), fold, within)
+
     def compact(self) -> None:
-        """Fold the deltas of all committed batches into one folder; batch ids stay known."""
+        """Fold all batches that count now into one folder; batch ids stay known, and batches to come count beside it."""
+        number, fold, within = self.folded()
         known = self.committed()
-        if len(set(known.values())) < 2:
+        if len(known.keys() - within) < 1 + (fold is None):
             return
         folder = uuid.uuid4().hex
-        self.totals().write.parquet(f"{self.path}/deltas/{folder}")
-        fresh = Rollup(self.spark, f"{self.path}/next-{folder}")
-        for batch in known:
-            fresh._fs.createNewFile(fresh._at("commits", f"{batch}@{folder}"))
-        old = self._at(f"commits-{folder}")
-        self._fs.rename(self._at("commits"), old)
-        self._fs.rename(fresh._at("commits"), self._at("commits"))
+        self._read(known, fold, within).write.parquet(f"{self.path}/deltas/{folder}")
+        self.spark.createDataFrame([(b,) for b in sorted(known)], "batch string").coalesce(1).write.text(f"{self.path}/deltas/{folder}-batches")
+        self._mark("folds", str(number + 1), folder)
+
+
+#: Withdrawn are texts of fewer words; revised are those with an e-mail address, which is masked.
+LEAST_WORDS = 20
+ADDRESS, MASK = r"[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+", "[masked address]"
 
 
 def maintained(docs: DataFrame, store: str | None = None) -> DataFrame:
-    """Totals after four batches over all documents, one of them sent twice.
+    """Totals of a corpus that changes: the batches of its life, some of them sent twice.
 
-    Insert every document with the first tokenizer; insert every document with the second; send the first batch again;
-    withdraw the first tokenizer's counts; insert them anew as a revision.
+    All documents are inserted, by the counts of two tokenizers. Texts of fewer than LEAST_WORDS words are deleted. Texts
+    with e-mail addresses are revised: their old counts go and those of the masked text come.
     """
     spark = docs.sparkSession
     rollup = Rollup(spark, store or f"{checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}")
-    first, second = list(TOKENIZERS)
-    rollup.commit("1-insert", changes(docs, first))
-    rollup.commit("2-second-tokenizer", changes(docs, second))
-    rollup.commit("1-insert", changes(docs, first))
-    rollup.commit("3-revision", changes(docs, first, DELETE).unionByName(changes(docs, first)))
+
+    def counted(rows: DataFrame, sign: int = INSERT, text_col: str = "text") -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [changes(rows, version, sign, text_col) for version in TOKENIZERS])
+
+    short = docs.where(space_words(F.col("text")) < LEAST_WORDS)
+    revised = docs.where(F.contains("text", F.lit("@")) & (space_words(F.col("text")) >= LEAST_WORDS)).withColumn("masked text", F.regexp_replace("text", ADDRESS, MASK)).where(F.col("masked text") != F.col("text"))
+    life = [(f"insert-{version}", changes(docs, version)) for version in TOKENIZERS]
+    life += [("withdrawn", counted(short, DELETE)), ("masked", counted(revised, DELETE).unionByName(counted(revised, INSERT, "masked text")))]
+    for at, (batch, rows) in enumerate(life):
+        rollup.commit(batch, rows)
+        rollup.commit(*life[at // 2])  # sent again: changes nothing
+        if at == 1:
+            rollup.compact()
     return rollup.totals()
