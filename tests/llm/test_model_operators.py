@@ -168,8 +168,17 @@ def edit_distance(a, b):
 
 def test_automaton_equals_edit_distance():
     rng = random.Random(6)
-    terms = ["clown", "worthless", "disgusting", "abcdefghijkl", "abc"]
+    terms = ["clown", "worthless", "disgusting", "abcdefghijkl", "abc", "aaaaabaaaaa", "abababababab"]
     trie = toxicity.LexiconTrie(terms)
+    for limit in (0, 1, 2, 3):
+        table = toxicity.LevenshteinTable(limit)
+        for _ in range(700):
+            word, other = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(2))
+            base, state = 0, table.START
+            for c in other:
+                base, state = table.step(state, word, base, c)
+            want = edit_distance(word, other)
+            assert table.edits(state, len(word) - base) == (want if want <= limit else None), (word, other)
     for _ in range(1500):
         word = list(rng.choice(terms))
         for _ in range(rng.randint(0, 3)):
@@ -181,6 +190,34 @@ def test_automaton_equals_edit_distance():
         assert trie.nearest(word) == want, word
 
 
+def test_every_term_and_ordinary_word_of_the_sample_counts(spark):
+    """No number of terms is too many, and ordinary words near terms are no misspellings, however rare."""
+    letters = "bcdfghklmnprstvz"
+    terms = [a + "o" + b + "i" + c + d + "axu" for a in letters for b in letters for c in letters[:8] for d in "eou"]
+    rows, marks = [], []
+    for i, at in enumerate(range(0, len(terms), 64)):
+        for copy in range(14):
+            key_ = 100_000 + 14 * i + copy
+            rows.append((key_, " ".join([*(f"x{'abcdefghijklmn'[copy]}{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)), *terms[at : at + 64]])))
+            marks.append((key_, 1, 1))
+    rows += [(i, "quiet words " + ("zozibeaxx" if i < 40 else "more")) for i in range(9000)]
+    rows = [(i, t if i >= 100_000 else t + "".join(f" o{a}{b}{c}" for a in "ab" for b, c in [(chr(97 + i % 26), chr(97 + i // 26 % 26) + chr(97 + i // 676))])) for i, t in rows]
+    marks += [(i, 1, 0) for i in range(9000)]
+    scorer = toxicity.learn(frame(spark, rows), labels(spark, marks))
+    assert set(terms) <= set(scorer.terms) and len(terms) > 5000
+    assert scorer.match("zozibeaxx") is None and scorer.match("zozibeaxuu") == ("zozibeaxu", 1)
+
+
+def test_toxicity_of_long_and_repeated_rows(spark):
+    rows, marks = labelled(200)
+    docs = frame(spark, rows + rows[:50] + [(5, "another text of that id"), (9_000, "w " * 40_000 + "grobbelkopf idiotling grobbelkopf"), (9_000, "w " * 40_000 + "grobbelkopf idiotling grobbelkopf")])
+    scorer = toxicity.learn(docs, labels(spark, marks + marks[:30]))
+    once = toxicity.learn(frame(spark, rows), labels(spark, marks))
+    assert scorer.terms.keys() == once.terms.keys()
+    got = [(r.score, r.predicted) for r in toxicity.judged(docs, scorer).where("doc_id = 9000").collect()]
+    assert len(got) == 2 and got[0] == got[1] and got[0][1] == 1
+
+
 URLS = [
     ("http://a.net/x", "net/", "block"), ("http://example.net/en/y", "example.net/en/", "allow"), ("http://m.EXAMPLE.net/en", "net/", "block"), ("https://x.example.com/de/?q=/en/", "example.com/de/", "block"),
     ("http://example.com/fr/", None, "allow"), ("http://q.org/fr/1#a", "org/fr/", "allow"), ("http://net", None, "allow"), ("http://net/", "net/", "block"), ("http://net?x/", None, "allow"), ("notaurl", None, "allow"),

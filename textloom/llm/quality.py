@@ -126,6 +126,60 @@ def held_out(id_col: str = "doc_id", of: int = HELD_OUT_OF, rest: int = HELD_OUT
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == rest, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: F.Column, sample: int) -> DataFrame:
+    """__id, __text, label, and the other columns of docs under their names with __d before, of at most sample labelled rows.
+
+    They are those with the smallest hashes of their ids; only ids are sorted for it. An id with several labels or texts
+    counts once, by its largest label and its text of the smallest hash.
+    """
+    ids = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
+    held = docs.select(F.col("doc_id").cast("long").alias("__id"), text, *[F.col(c).alias(f"__d{c}") for c in docs.columns if c not in ("doc_id", "text")])
+    found = held.join(F.broadcast(chosen), "__id")  # at most sample rows of two numbers
+    first = found.groupBy("__id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "__id"]), F.xxhash64("__text")).alias("r"))
+    return first.select("__id", "r.*").select("__id", "__text", "label", *[c for c in found.columns if c.startswith("__d")])
+
+
+def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 600, rate: float = 0.05, decay: float = 1e-4, batch: int = 128) -> FactorizationMachine:
+        """Adagrad on the logistic loss; the same rows in the same order give the same model."""
+        n, share = len(labels), float(labels.mean()) if len(labels) else 0.5
+        if not n or not 0 < share < 1:
+            limit = min(1 - 1e-6, max(1e-6, share))
+            return cls(float(np.log(limit / (1 - limit))))
+        rng = np.random.default_rng(7)
+        self = cls(float(np.log(share / (1 - share))), np.zeros(N_FEATURES, np.float32), rng.normal(0, 0.01, (N_FEATURES, RANK)).astype(np.float32))
+        gw, gv, g0 = np.full(N_FEATURES, 1e-3), np.full((N_FEATURES, RANK), 1e-3), 1e-3
+        for _ in range(max(12, steps // max(1, n // batch))):  # few labels are gone through more often
+            order = rng.permutation(n)
+            for at in range(0, n, batch):
+                own = order[at : at + batch]
+                index = np.concatenate([rows[i][0] for i in own])
+                value = np.concatenate([rows[i][1] for i in own])
+                starts = np.r_[0, np.cumsum([len(rows[i][0]) for i in own])[:-1]]
+                row = np.repeat(np.arange(len(own)), np.diff(np.r_[starts, len(index)]))
+                vx = self.v[index] * value[:, None]
+                sums = np.add.reduceat(vx, starts)
+                z = self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * (sums**2 - np.add.reduceat(vx**2, starts)).sum(axis=1)
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) / len(own)
+                e = error[row] * value
+                seen, back = np.unique(index, return_inverse=True)
+                dw = np.bincount(back, e) + decay * self.w[seen]
+                dv = np.stack([np.bincount(back, e * (sums[row, k] - vx[:, k])) for k in range(RANK)], axis=1) + decay * self.v[seen]
+                gw[seen] += dw**2
+                gv[seen] += dv**2
+                self.w[seen] -= (rate * dw / np.sqrt(gw[seen])).astype(np.float32)
+                self.v[seen] -= (rate * dv / np.sqrt(gv[seen])).astype(np.float32)
+                g0 += error.sum() ** 2
+                self.w0 -= rate * float(error.sum()) / np.sqrt(g0)
+        return self
+
+
+def held_out(id_col: str = "doc_id", of: int = HELD_OUT_OF, rest: int = HELD_OUT) -> F.Column:
+    """Whether the crc32 of the id as text leaves this remainder; false for null ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == rest, F.lit(False))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: F.Column, sample: int) -> DataFrame:
     """__id, __text, label of at most sample labelled rows, by the smallest hashes of their ids; only ids are sorted for it."""
     ids = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("label"))

@@ -2,15 +2,18 @@
 
 The lexicon is learnt from labelled rows: words that toxic documents have more often than chance allows, by a binomial
 tail at a false discovery rate. Copies of a document count once. Terms are held in a trie. A word that is no term is
-matched by walking the trie with the states of a Levenshtein automaton for that word: the row of edit distances to the
-path, cut off where no state is left. Words of ordinary documents are no misspellings.
+matched by walking the trie and a Levenshtein automaton of the word together, as far as both go on. The automata of all
+words are one table of states and transitions: a state is a set of positions relative to a place in the word, and what a
+letter does to it depends only on which of the next few letters of the word it equals (Schulz and Mihov 2002). The table
+is worked out as words need it and kept. Words that labelled ordinary documents have are no misspellings.
 
 Each occurrence is weighed by its context window: quotation marks around it or a verb of reporting before it tell
 mention from abuse. Sums over the occurrences go into a logistic score that is fitted on the same labelled rows.
 
-At most `sample` labelled rows are read for learning, those with the smallest hashes of their ids. Scoring is one narrow
-pass over whole texts. Defined results: null and empty texts score as texts without terms. Without toxic labels nothing
-is toxic. Rows are scored one by one, repeated or not. Language, source and ids are no inputs.
+At most `sample` labelled rows are read for learning, those with the smallest hashes of their ids; every term that they
+show is kept. Scoring is one narrow pass over whole texts. Defined results: null and empty texts score as texts without
+terms. Without toxic labels nothing is toxic. Rows are scored one by one, repeated or not. Labels and documents that
+repeat an id are learnt from once. Language, source and ids are no inputs.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ from textloom.session import ship
 #: Labelled rows that learning reads at most.
 SAMPLE = 20_000
 THRESHOLD, HELD_OUT_OF, HELD_OUT = 0.5, 5, 0
-#: Terms at most, by the strength of what shows them; ordinary words kept to tell them from misspellings, by frequency.
-MAX_TERMS, MAX_ORDINARY = 5000, 200_000
 FALSE_DISCOVERIES = 0.02
 WORD = re.compile(r"[^\W\d_]+")
 _OPEN, _CLOSE = "\"'“”„«‹‘’`", "\"'“”«»›‘’`"
@@ -45,6 +46,51 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
+class LevenshteinTable:
+    """The automaton of words within `limit` edits, for any word.
+
+    A state is a sorted tuple of (offset, edits): the letters read so far cost so many edits to reach the word's place
+    base + offset. No position is kept that another one makes needless.
+    """
+
+    START = ((0, 0),)
+
+    def __init__(self, limit: int):
+        self.limit, self.span = limit, 2 * limit + 1
+        self.moves: dict[tuple, tuple[int, tuple]] = {}
+
+    def step(self, state: tuple, word: str, base: int, letter: str) -> tuple[int, tuple]:
+        """(new base, new state) after a letter; an empty state has no way on."""
+        ahead = word[base : base + self.span]
+        key = (state, len(ahead), *[i for i, c in enumerate(ahead) if c == letter])
+        known = self.moves.get(key)
+        if known is None:
+            known = self.moves[key] = self._worked_out(state, len(ahead), set(key[2:]))
+        return base + known[0], known[1]
+
+    def _worked_out(self, state: tuple, left: int, equal: set[int]) -> tuple[int, tuple]:
+        """left: letters of the word from the base on, as far as they matter; equal: those of them that the letter equals."""
+        reached: dict[int, int] = {}
+
+        def reach(offset: int, edits: int) -> None:
+            if edits <= self.limit and offset <= left and edits < reached.get(offset, edits + 1):
+                reached[offset] = edits
+
+        for offset, edits in state:
+            reach(offset, edits + 1)  # the letter is one too many
+            reach(offset + 1, edits + 1)  # it stands for another
+            for skipped in range(self.limit - edits + 1):  # letters of the word are left out before it
+                if offset + skipped in equal:
+                    reach(offset + skipped + 1, edits + skipped)
+        best = [(o, e) for o, e in reached.items() if not any(f < e and abs(p - o) <= e - f for p, f in reached.items())]
+        lowest = min((o for o, _ in best), default=0)
+        return lowest, tuple(sorted((o - lowest, e) for o, e in best))
+
+    def edits(self, state: tuple, rest: int) -> int | None:
+        """Edits if the letters end here, with so many of the word's letters after the base."""
+        return min((e + rest - o for o, e in state if e + rest - o <= self.limit), default=None)
+
+
 class LexiconTrie:
     """Terms by character; END holds a term where it ends."""
 
@@ -53,6 +99,7 @@ class LexiconTrie:
     def __init__(self, terms: Iterable[str]):
         self.root: dict = {}
         self.terms = frozenset(terms)
+        self.automaton = LevenshteinTable(2)
         self.heads: set[str] = set()
         self.tails: set[str] = set()
         self.middles: set[str] = set()
@@ -88,19 +135,19 @@ class LexiconTrie:
         if len(word) < 4 or not self.may_match(word):
             return None
         best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        step, n = self.automaton.step, len(word)
+        stack = [(self.root, 0, LevenshteinTable.START)]
         while stack:
-            node, row = stack.pop()
+            node, base, state = stack.pop()
             for c, below in node.items():
                 if c == self.END:
-                    if row[-1] <= edits_allowed(below) and (best is None or (row[-1], below) < best):
-                        best = (row[-1], below)
+                    edits = self.automaton.edits(state, n - base)
+                    if edits is not None and edits <= edits_allowed(below) and (best is None or (edits, below) < best):
+                        best = (edits, below)
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (w != c)))
-                if min(new) <= 2:
-                    stack.append((below, new))
+                after = step(state, word, base, c)
+                if after[1]:
+                    stack.append((below, *after))
         return best and (best[1], best[0])
 
 
@@ -115,7 +162,7 @@ def choose_terms(counts: list[tuple[str, int, int]], share: float, words: int) -
     tested = sorted((binomial_tail(t, t + o, share), -t, w, o) for w, t, o in counts if t > 4 * o)
     out: dict[str, float] = {}
     for rank, (p, t, w, o) in enumerate(tested, 1):
-        if p > FALSE_DISCOVERIES * rank / max(1, words) or len(out) >= MAX_TERMS:
+        if p > FALSE_DISCOVERIES * rank / max(1, words):
             break
         out[w] = min(1.0, (-t) / (-t + o + 0.5))
     return out
@@ -227,7 +274,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     words = counts.where("t + o >= 2").count()
     likely = [(r.w, r.t, r.o) for r in counts.where("t >= 2 and t > 4 * o").collect()]
     terms = choose_terms(likely, share, words)
-    ordinary = [r.w for r in counts.where("o >= 2 and length(w) >= 4").orderBy(F.desc("o"), "w").limit(MAX_ORDINARY).collect() if r.w not in terms]
+
+    def near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = LexiconTrie(terms)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in texts(batch, "w") if w not in terms and trie.nearest(w)], pa.string())], names=["w"])
+
+    ordinary = [r.w for r in counts.where("o >= 2").select("w").mapInArrow(near_terms, "w string").collect()]  # those that the trie would take for terms
     counts.unpersist()
     told.unpersist()
     draft = Scorer(terms, ordinary, list(PRIOR))
