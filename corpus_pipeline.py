@@ -79,11 +79,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again by the next."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over documents, each written to the shared folder and read again by the next.
+
+    folder: where stages are kept, if a run that fails is to be gone on with: a stage that is complete there isn't run
+    again. It belongs to one sf_dir. A stage's rows go when the next stage's are complete, so one copy stays.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = folder or f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES[:-1])]
+    first = max((k + 1 for k, at in enumerate(written) if files.exists(hadoop(f"{at}/_SUCCESS"))), default=0)
+    docs = spark.read.parquet(written[first - 1]) if first else table(spark, sf_dir, "documents")
+    for k in range(first, len(written)):
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(written[k])
+        docs = spark.read.parquet(written[k])
+        if k:
+            files.delete(hadoop(written[k - 1]), True)
     return STAGES[-1][1](spark, docs, sf_dir)
