@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,8 +36,8 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _BYTE_LEVEL = {c: "".join(_BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
 CACHED_CHUNKS, CACHED_WORDS, CACHED_PAIRS = 180_000, 180_000, 200_000
-#: Characters over which a word is encoded by itself; over which a chunk or word isn't kept.
-LONG_WORD, LONG_CHUNK = 256, 64
+#: Characters over which a chunk or word isn't kept.
+LONG_CHUNK = 64
 
 
 class TrieBpe:
@@ -63,10 +64,12 @@ class TrieBpe:
         self.rank = {m: r for r, m in enumerate(merges)}
         self.made = {left + right: (r, left, right) for r, (left, right) in enumerate(merges)}
         self.longest = max(map(len, self.vocab))
+        self.id_text = {t: str(i) for t, i in self.vocab.items()}
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         first = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.simple = steps == ["NFC", "Replace", "Lowercase"] and first == _WORD_PATTERN
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added_start = next(iter({t[0] for t in self.added}), "") if len({t[:1] for t in self.added}) == 1 else ""
         self.token |= {i: t for t, i in self.added.items()}
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -108,67 +111,69 @@ class TrieBpe:
 
         The trie is held as its depth-first order, the sorted words: a word leaves the path of the one before it where
         their characters part. The state of a node is the last token of its prefix. It is worked out from the states
-        above it when a word below first asks for it, and holds while the walk stays below that node.
+        above it when a word below first asks for it, and holds while the walk stays below that node. The path and the
+        depth of questions grow with the longest word.
         """
         end, vocab, apart, longest = self.end, self.vocab, self.apart, self.longest
+        ordered = sorted(words)
+        most = max(map(len, ordered), default=0)
         out: dict[str, list[str]] = {}
-        last: list[str] = [""] * (LONG_WORD + 1)  # last[n]: of the first n characters of the path, "" while unknown
-        unknown, path = [""] * (LONG_WORD + 1), ""
+        last: list[str] = [""] * (most + 1)  # last[n]: of the first n characters of the path, "" while unknown
+        unknown, path = [""] * (most + 1), ""
 
-        def state(prefix: str, n: int) -> str:
+        def state(word: str, n: int) -> str:
             for start in range(n - longest if n > longest else 0, n):
-                token = prefix[start:]
-                if token in vocab and (start == 0 or apart(last[start] or state(prefix[:start], start), token)):
-                    if len(prefix) == n:  # else it is a leaf, whose mark makes it longer
-                        last[n] = token
+                token = word[start:n]
+                if token in vocab and (start == 0 or apart(last[start] or state(word, start), token)):
+                    last[n] = token
                     return token
-            raise ValueError(f"the vocabulary can't spell {prefix!r}")
-
-        for word in sorted(words):
-            n = len(word)
-            if n > LONG_WORD:
-                out[word] = self.encode_long(word)
-                continue
-            shared = 0
-            for a, b in zip(path, word):
-                if a != b:
-                    break
-                shared += 1
-            last[shared + 1 : len(path) + 1] = unknown[shared + 1 : len(path) + 1]
-            path = word
-            token = state(word + end, n)
-            rest = n - (len(token) - len(end))
-            tokens = [token]
-            while rest > 0:
-                token = last[rest] or state(word[:rest], rest)
-                tokens.append(token)
-                rest -= len(token)
-            tokens.reverse()
-            out[word] = tokens
+            raise ValueError(f"the vocabulary can't spell {word[:n]!r}")
+
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, most + 1000))
+        try:
+            for word in ordered:
+                n, shared = len(word), 0
+                for a, b in zip(path, word):
+                    if a != b:
+                        break
+                    shared += 1
+                last[shared + 1 : len(path) + 1] = unknown[shared + 1 : len(path) + 1]
+                path, leaf = word, word + end
+                for start in range(n + len(end) - longest if n + len(end) > longest else 0, n):
+                    token = leaf[start:]
+                    if token in vocab and (start == 0 or apart(last[start] or state(word, start), token)):
+                        break
+                else:
+                    raise ValueError(f"the vocabulary can't spell {word!r}")
+                tokens, rest = [token], start
+                while rest > 0:
+                    token = last[rest] or state(word, rest)
+                    tokens.append(token)
+                    rest -= len(token)
+                tokens.reverse()
+                out[word] = tokens
+        finally:
+            sys.setrecursionlimit(limit)
         return out
 
-    def encode_long(self, word: str) -> list[str]:
-        """The same states for a word too long for the trie's paths, one prefix after another, in linear time."""
-        end, n, last = self.end, len(word), [""] * (len(word) + 1)
-        for size in range(1, n + 1):
-            mark = end if size == n else ""
-            for start in range(max(0, size - self.longest), size):
-                token = word[start:size] + mark
-                if token in self.vocab and (start == 0 or self.apart(last[start], token)):
-                    last[size] = token
-                    break
-        tokens, rest = [last[n]], n - (len(last[n]) - len(end))
-        while rest > 0:
-            tokens.append(last[rest])
-            rest -= len(last[rest])
-        return tokens[::-1]
+    def word(self, chunk: str) -> str:
+        """The one word of a chunk of letters, in the byte-level alphabet, or "" if the library has to say."""
+        if not self.simple:
+            return ""
+        if chunk.isascii():
+            return chunk.lower()
+        return chunk.lower().translate(_BYTE_LEVEL) if _LATIN.fullmatch(chunk) else ""
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in the byte-level alphabet."""
+        head, mark = chunk[:-1], chunk[-1]
+        if head.isalpha() and mark.isascii() and not mark.isalpha() and (w := self.word(head)):
+            return [w, mark]
         if self.simple and _LATIN.fullmatch(chunk):
             lower = chunk.lower()
             if lower.isascii():
-                return [lower] if lower.isalpha() else _LATIN_WORDS.findall(lower)
+                return _LATIN_WORDS.findall(lower)
             return [w if w.isascii() else w.translate(_BYTE_LEVEL) for w in _LATIN_WORDS.findall(lower)]
         return [w for w, _ in self.split(self.normalize(chunk))]
 
@@ -176,7 +181,7 @@ class TrieBpe:
         return _PLAIN.findall(text) if _ODD_SPACE.search(text) else text.split()
 
     def entry(self, tokens: list[str]) -> tuple[str, int, str]:
-        return " ".join([str(self.vocab[t]) for t in tokens]), len(tokens), " ".join(tokens)
+        return " ".join(map(self.id_text.__getitem__, tokens)), len(tokens), " ".join(tokens)
 
     def learn(self, wanted: set[str]) -> dict[str, tuple[str, int, str]]:
         """(ids, number, tokens) of these chunks of text without white space, among others.
@@ -191,29 +196,25 @@ class TrieBpe:
         if len(self.young_words) > CACHED_WORDS:
             self.old_words, self.young_words = self.young_words, {}
         young, old, spelled, once = self.young, self.old, self.young_words, self.old_words
-        self.long = [c for c in wanted.difference(young) if len(c) > LONG_CHUNK]
-        new = []
-        for chunk in wanted.difference(young):
-            if (known := old.get(chunk)) is None:
-                new.append((chunk, self.words(chunk)))
-            else:
-                young[chunk] = known
-        unknown = []
-        for word in {w for _, ws in new for w in ws}.difference(spelled):
-            if (known := once.get(word)) is None:
-                unknown.append(word)
-            else:
-                spelled[word] = known
-        for word, tokens in self.encode_words(unknown).items():
+        new = wanted.difference(young)
+        self.long = [c for c in new if len(c) > LONG_CHUNK]
+        known = new.intersection(old)
+        young.update(zip(known, map(old.__getitem__, known)))
+        new -= known
+        single = {c: w for c in new if c.isalpha() and (w := self.word(c))}  # most chunks are a word
+        several = {c: self.words(c) for c in new if c not in single}
+        fresh = set(single.values()).union(*several.values()).difference(spelled)
+        known = fresh.intersection(once)
+        spelled.update(zip(known, map(once.__getitem__, known)))
+        fresh -= known
+        for word, tokens in self.encode_words(fresh).items():
             spelled[word] = self.entry(tokens)
-        for chunk, ws in new:
-            if len(ws) == 1:
-                young[chunk] = spelled[ws[0]]
-            else:
-                own = [spelled[w] for w in ws]
-                young[chunk] = (" ".join([e[0] for e in own]), sum([e[1] for e in own]), " ".join([e[2] for e in own]))
-                self.wordless |= not ws
-        for word in [w for w in unknown if len(w) > LONG_CHUNK]:
+        young.update(zip(single, map(spelled.__getitem__, single.values())))
+        for chunk, ws in several.items():
+            own = [spelled[w] for w in ws]
+            young[chunk] = own[0] if len(own) == 1 else (" ".join([e[0] for e in own]), sum([e[1] for e in own]), " ".join([e[2] for e in own]))
+            self.wordless |= not ws
+        for word in [w for w in fresh if len(w) > LONG_CHUNK]:
             del spelled[word]
         return young
 
@@ -222,7 +223,7 @@ class TrieBpe:
         segments: list[list[list[str] | str]] = []
         wanted: set[str] = set()
         for text in documents:
-            parts = self.added_pattern.split(text) if self.added_pattern and "<" in text else [text]
+            parts = self.added_pattern.split(text) if self.added_pattern and self.added_start in text else [text]
             row: list[list[str] | str] = []
             for i, part in enumerate(parts):
                 if i % 2:
