@@ -2,8 +2,8 @@
 
 A rule is (action, host, path) and fits its host and all subdomains, if the url's path starts with the rule's path. Of
 the rules that fit, the one with the most characters in host and path decides; of one length, block before allow. The
-trie goes to executors by broadcast if the rules stay under MAX_BROADCAST_RULES and MAX_BROADCAST_CHARS; longer lists
-are joined by host suffix instead, with the same result.
+trie goes to executors by broadcast: judge() takes at most MAX_RULES rules of MAX_CHARS characters in all, and refuses
+more. A table of rules of any length is for judge_by_join(), which gives the same by host suffix and no broadcast.
 
 Host: from the first :// up to /, ?, # or the end, A-Z lower-cased, port and user kept. Path: from there up to ?, # or
 the end. Null urls and urls without :// have an empty host and path, and no rule fits. Repeated rows each get a row.
@@ -23,7 +23,8 @@ from textloom.session import ship
 #: (action, host and path) used in production.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DEFAULT_VERDICT = "allow"
-MAX_BROADCAST_RULES, MAX_BROADCAST_CHARS = 200_000, 16 << 20
+#: What judge() broadcasts at most.
+MAX_RULES, MAX_CHARS = 200_000, 16 << 20
 
 
 def parsed(rules: Iterable[tuple[str, str]]) -> list[tuple[str, str, str]]:
@@ -82,13 +83,17 @@ def parts(url: F.Column) -> tuple[F.Column, F.Column]:
     return lower_az(host), path
 
 
+def _split(pages: DataFrame, url_col: str, id_col: str) -> DataFrame:
+    host, path = parts(F.col(url_col))
+    return pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+
+
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, url_col: str = "url", id_col: str = "page_id", default: str = DEFAULT_VERDICT) -> DataFrame:
     """page_id, host, path, rule (null where none fits), verdict."""
     rules = list(rules)
-    host, path = parts(F.col(url_col))
-    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    if len(rules) > MAX_BROADCAST_RULES or sum(len(t) for _, t in rules) > MAX_BROADCAST_CHARS:
-        return judge_by_join(split, rules, default)
+    if len(rules) > MAX_RULES or sum(len(t) for _, t in rules) > MAX_CHARS:
+        raise ValueError("too many rules to broadcast; judge_by_join() takes them as a table")
+    split = _split(pages, url_col, id_col)
     ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(rules)
 
@@ -103,9 +108,13 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, url_col: s
     return split.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def judge_by_join(split: DataFrame, rules: list[tuple[str, str]], default: str = DEFAULT_VERDICT) -> DataFrame:
-    """The same for a list of rules too long to broadcast: distinct hosts and paths meet the rules by host suffix."""
-    table = split.sparkSession.createDataFrame(parsed(rules), "action string, on string, start string")
+def judge_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = DEFAULT_VERDICT) -> DataFrame:
+    """The same with a table of rules (action, rule): distinct hosts and paths meet the rules by host suffix."""
+    slash = F.instr("rule", "/")
+    host = F.when(slash > 0, F.substr("rule", F.lit(1), slash - 1)).otherwise(F.col("rule"))
+    start = F.when(slash > 0, F.substr(F.col("rule"), slash)).otherwise(F.lit(""))
+    table = rules.where("action in ('allow', 'block')").select("action", F.lower(host).alias("on"), start.alias("start")).where("on <> ''")
+    split = _split(pages, url_col, id_col)
     labels = F.split("host", r"\.")
     urls = split.select("host", "path").distinct()
     suffixes = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("on"))
