@@ -56,12 +56,12 @@ with w as (select doc_id, coalesce(text, '') as t, {_WORDS} as ws, list_filter(s
  cov as (select doc_id, count(distinct p) as n from (select doc_id, i from win semi join rec using (doc_id, k)), unnest(range(i, i + 8)) t(p) group by doc_id),
  m as (select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
   cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
-  cast(coalesce(n, 0) as bigint) as n_repeat_words, len(list_filter(ws, lambda w: w in ({stop}))) as stop_words, len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) as alpha,
+  cast(coalesce(n, 0) as bigint) as n_repeat_words, len(list_filter(ws, lambda w: translate(w, '{_UPPER}', '{_LOWER}') in ({stop}))) as stop, len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) as alpha,
   len(ls) as n_lines, len(list_filter(ls, lambda x: trim(x)[1] in ('-', '*', '•', '·'))) as bullets, len(list_filter(ls, lambda x: ends_with(trim(x), '...') or ends_with(trim(x), '…'))) as ellipses
   from w left join cov using (doc_id)),
  q as (select *, case when n_words > 0 then n_symbols / n_words else 0 end as symbol_ratio, case when n_words > 0 then word_chars / n_words else 0 end as mean_word_length,
   case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_line_ratio, case when n_lines > 0 then bullets / n_lines else 0 end as bullet_line_ratio,
-  case when n_lines > 0 then ellipses / n_lines else 0 end as ellipsis_line_ratio, case when n_words > 0 then alpha / n_words else 0 end as alpha_ratio,
+  case when n_lines > 0 then ellipses / n_lines else 0 end as ellipsis_line_ratio, case when n_words > 0 then alpha / n_words else 0 end as alpha_ratio, case when n_words > 0 then stop / n_words else 0 end as stop_ratio,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({" or ".join(tests)}) as kept from q"""
 

@@ -17,11 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, SPACE_CHARS
+from textloom.llm.common import SPACE, SPACE_CHARS, lower_az
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
-#: Frequent short words of the languages in the corpus; a text of running words has some of them.
+#: Frequent short words of the languages in the corpus, A-Z lower-cased; a text of running words has some of them.
 STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "it", "that", "be", "der", "die", "das", "und", "den", "ist", "ein", "zu", "nicht", "le", "la", "les", "de", "des", "et", "un", "une", "en", "que", "el", "los", "las", "y", "se", "del", "por")
 
 
@@ -44,7 +44,7 @@ THRESHOLDS: tuple[Threshold, ...] = (
     Threshold("bullet_lines", "bullet_line_ratio", most=0.9, words_from=50),
     Threshold("ellipsis_lines", "ellipsis_line_ratio", most=0.5, words_from=50),
     Threshold("alphabetic_words", "alpha_ratio", least=0.5),
-    Threshold("stop_words", "stop_words", least=2, words_from=100),
+    Threshold("stop_words", "stop_ratio", least=0.02, words_from=100),
 )
 
 
@@ -108,7 +108,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
         return F.struct(
             F.size(ws).cast("long").alias("n"),
             repeated_words(ws).alias("repeated"),
-            F.size(F.filter(ws, lambda w: w.isin(*STOP_WORDS))).alias("stop"),
+            F.size(F.filter(ws, lambda w: lower_az(w).isin(*STOP_WORDS))).alias("stop"),
             F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).alias("alpha"),
         )
 
@@ -127,7 +127,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
         n.alias("n_words"), word_chars.alias("word_chars"), symbols.alias("n_symbols"), F.col("__l.dup").alias("n_dup_lines"), F.col("__w.repeated").alias("n_repeat_words"),
         ratio(symbols, n).alias("symbol_ratio"), ratio(word_chars, n).alias("mean_word_length"), ratio(F.col("__l.dup"), F.col("__l.n")).alias("dup_line_ratio"),
         ratio(F.col("__l.bullets"), F.col("__l.n")).alias("bullet_line_ratio"), ratio(F.col("__l.ellipses"), F.col("__l.n")).alias("ellipsis_line_ratio"),
-        ratio(F.col("__w.alpha"), n).alias("alpha_ratio"), F.col("__w.stop").alias("stop_words"),
+        ratio(F.col("__w.alpha"), n).alias("alpha_ratio"), ratio(F.col("__w.stop"), n).alias("stop_ratio"),
     )
 
 
