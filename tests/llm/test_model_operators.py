@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tests.llm.data import AZ, SPACE_WORD, found, frame, key, labels, texts
+from tests.llm.data import AZ, SCHEMA, SPACE_WORD, frame, key, labels, texts
 from textloom.llm import quality, simhash, toxicity, urlfilter
 from textloom.llm.components import components
 
@@ -129,6 +129,21 @@ def test_quality(spark):
     assert np.array_equal(quality.fit(docs, flipped).w, quality.fit(docs, labels(spark, marks)).w)
     assert quality.fit(docs, labels(spark, [])).score(*quality.features("")) == pytest.approx(0.5)
     assert quality.scored(frame(spark, []), model).count() == 0
+    # Rows and labels that repeat an id are learnt from once; metadata can be absent, and null, and of any type.
+    twice = quality.fit(frame(spark, rows + rows[:90]), labels(spark, marks + marks[:70]))
+    assert np.array_equal(twice.w, quality.fit(frame(spark, rows), labels(spark, marks)).w)
+    bare = docs.select("doc_id", "text")
+    assert quality.scored(bare, quality.fit(bare, told), metadata=("n_chars", "page")).count() == docs.count()
+
+
+def test_metadata_take_part(spark):
+    rows = [(i, "the same words in every text", "en", f"s{i % 2}", None if i % 7 == 0 else 10 + 90_000 * (i % 2), "", "", "", "") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    told = labels(spark, [(i, i % 2, 0) for i in range(300)])
+    for metadata, right in ((("n_chars",), 0.8), (("fp",), 0.0)):
+        got = quality.scored(docs, quality.fit(docs, told, metadata=metadata), 0.5, metadata).collect()
+        share = np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out and r.doc_id % 7])
+        assert share > 0.95 if right else share < 0.7
 
 
 def test_machine_is_linear_time_form_of_all_pairs():
@@ -226,14 +241,24 @@ URLS = [
 
 
 @pytest.mark.parametrize("by_join", [False, True])
-def test_url_filter(spark, monkeypatch, by_join):
-    if by_join:
-        monkeypatch.setattr(urlfilter, "MAX_BROADCAST_RULES", 1)
-    pages = spark.createDataFrame([(i, u, "h", "p") for i, (u, _, _) in enumerate(URLS)], "page_id long, url string, host string, rule string")
-    got = found_urls = {r.page_id: r for r in urlfilter.judge(pages).collect()}
+def test_url_filter(spark, by_join):
+    def judge(pages, rules=urlfilter.RULES):
+        if not by_join:
+            return urlfilter.judge(pages, rules)
+        return urlfilter.judge_by_join(pages, spark.createDataFrame(list(rules), "action string, rule string"))
+
+    pages = spark.createDataFrame([(i, u, "h", "p") for i, (u, _, _) in enumerate(URLS)] + [(None, URLS[0][0], "h", "p"), (99, "http://" + "l." * 5000 + "net/" + "a/" * 20_000, "h", "p")], "page_id long, url string, host string, rule string")
+    got = {r.page_id: r for r in judge(pages).collect()}
     assert [(got[i].rule, got[i].verdict) for i in range(len(URLS))] == [(r, v) for _, r, v in URLS]
-    assert (found_urls[3].host, found_urls[3].path, found_urls[9].host, found_urls[11].path) == ("x.example.com", "/de/", "", "")
-    tie = urlfilter.judge(pages, [("allow", "net/"), ("block", "net/"), ("block", "a.net/xyz"), ("block", "net/en/a")])
+    assert (got[None].rule, got[99].rule, len(got[99].path)) == ("net/", "net/", 40_001)
+    assert (got[3].host, got[3].path, got[9].host, got[11].path) == ("x.example.com", "/de/", "", "")
+    tie = judge(pages, [("allow", "net/"), ("block", "net/"), ("block", "a.net/xyz"), ("block", "net/en/a")])
     assert {r.page_id: r.verdict for r in tie.collect()}[0] == "block"
-    assert urlfilter.judge(pages.limit(0)).count() == 0
-    assert found(urlfilter.judge(pages, []).where("verdict = 'allow'"), "page_id")[-1] == (15,)
+    assert judge(pages.limit(0)).count() == 0
+    assert judge(pages, []).where("verdict = 'allow'").count() == len(URLS) + 2
+
+
+def test_rules_beyond_the_broadcast_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 1)
+    with pytest.raises(ValueError, match="judge_by_join"):
+        urlfilter.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"))

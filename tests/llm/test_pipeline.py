@@ -63,3 +63,30 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
     assert os.path.isdir(tmp_path)
+
+
+def test_a_run_that_failed_goes_on(spark, tables, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    at, _, _ = tables
+    want = sorted(p.run(spark, at).collect(), key=str)
+    calls: list[str] = []
+
+    def watched(name, stage, fails):
+        def run(*args):
+            calls.append(name)
+            if fails and name == "near_dedup":
+                raise RuntimeError("lost")
+            return stage(*args)
+
+        return name, run
+
+    stages = list(p.STAGES)
+    monkeypatch.setattr(p, "STAGES", [watched(n, f, True) for n, f in stages])
+    with pytest.raises(RuntimeError):
+        p.run(spark, at, f"{tmp_path}/kept")
+    monkeypatch.setattr(p, "STAGES", [watched(n, f, False) for n, f in stages])
+    got = p.run(spark, at, f"{tmp_path}/kept")
+    assert sorted(got.collect(), key=str) == want
+    assert calls == ["toxicity", "line_dedup", "near_dedup", "near_dedup", "decontamination", "bpe"]
+    assert os.listdir(f"{tmp_path}/kept") == ["3-decontamination"]

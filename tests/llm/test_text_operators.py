@@ -17,7 +17,7 @@ def test_bpe_equals_the_library(spark, vocabulary):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
-    rows = texts() + [(60, "It's WE'LL <|endoftext|>x<|startoftext|> 12ab ΣΑΣ İ 漢字 😀 e\u0301 <|end"), (61, "\ud7ff\u180e a\u2028b")]
+    rows = texts() + [(60, "It's WE'LL <|endoftext|>x<|startoftext|> 12ab ΣΑΣ İ 漢字 😀 e\u0301 <|end"), (61, "\ud7ff\u180e a\u2028b"), (62, "end. No, x' yes! été, ñandú; ªº µ3 Straße) ſo, a1 b' 'tis it's'"), (63, "internationalization" * 400)]
     want = []
     for i, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -34,7 +34,7 @@ def test_trie_shares_prefixes(vocabulary):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
-    words = ["the", "then", "thens", "thensss", "a", "internationalization", "zzzzzz", "o", "abz" * 200, "x" * 255, "x" * 256, "thenx" * 52]
+    words = ["the", "then", "thens", "thensss", "a", "internationalization", "zzzzzz", "o", "abz" * 200, "x" * 255, "x" * 256, "ab" * 4000, "qzx" * 3000, "thenx" * 52]
     assert {w: [model.vocab[t] for t in ts] for w, ts in model.encode_words(words).items()} == {w: library.encode(w, add_special_tokens=False).ids for w in words}
 
 

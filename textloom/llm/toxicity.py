@@ -260,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     """Lexicon and weights from the labelled rows that are not held out."""
     spark = docs.sparkSession
     ship(spark)
-    chosen = labelled_sample(docs, labels, label, ~held_out(of=HELD_OUT_OF, rest=HELD_OUT), sample)
+    chosen = labelled_sample(docs.select("doc_id", "text"), labels, label, ~held_out(of=HELD_OUT_OF, rest=HELD_OUT), sample)
     told = chosen.mapInArrow(_words_of, "label int, grp string, words array<string>").persist()
     groups = told.groupBy("label").agg(F.countDistinct("grp").alias("n")).collect()
     size = {r.label: r.n for r in groups}
