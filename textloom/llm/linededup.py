@@ -71,13 +71,18 @@ def _stream(min_docs: int):
     def key(rows: list[np.ndarray], at: int) -> tuple[int, int]:
         return int(rows[0][at]), int(rows[1][at])
 
-    def given(rows: list[np.ndarray], chosen: np.ndarray | slice, is_open: bool) -> pa.RecordBatch:
+    def given(rows: list[np.ndarray], chosen: np.ndarray | slice, is_open: bool, before: tuple | None = None) -> pa.RecordBatch:
+        """before: the key and id of the open row before these. new: whether a row is the first of its document under the key here."""
         from pyspark import TaskContext
 
-        columns = [pa.array(x[chosen]) for x in rows]
-        n = len(columns[0])
-        part = pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, is_open)), part, *columns], names=["open", "part", *_COLUMNS])
+        own = [x[chosen] for x in rows]
+        n = len(own[0])
+        new = np.ones(n, bool)
+        if n and is_open:
+            new[1:] = np.any([x[1:] != x[:-1] for x in own[:3]], axis=0)
+            new[0] = before != (*key(own, 0), int(own[2][0]))
+        part = np.full(n, TaskContext.get().partitionId(), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, is_open), new, part, *own)], names=["open", "new", "part", *_COLUMNS])
 
     def goes(rows: list[np.ndarray]) -> np.ndarray:
         """Rows of whole keys."""
@@ -92,6 +97,14 @@ def _stream(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: tuple[int, int] | None = None
         held: list[list[np.ndarray]] = []  # rows of the last key so far, which may go on
+        before: tuple | None = None
+
+        def left_open(rows: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal before
+            out = given(rows, slice(None), True, before)
+            before = (*key(rows, -1), int(rows[2][-1]))
+            return out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -106,18 +119,18 @@ def _stream(min_docs: int):
             begin = int(starts[1]) if key(rows, 0) == first and len(starts) > 1 else 0
             last = int(starts[-1])
             if begin:
-                yield given(rows, slice(0, begin), True)
+                yield left_open([x[:begin] for x in rows])
             if begin < last:
                 inner = [x[begin:last] for x in rows]
                 yield given(inner, goes(inner), False)
             tail = [x[last:] for x in rows]
             if key(tail, 0) == first:
-                yield given(tail, slice(None), True)
+                yield left_open(tail)
                 held = []
             else:
                 held = [tail]
         for rows in held:
-            yield given(rows, slice(None), True)
+            yield left_open(rows)
 
     return run
 
@@ -129,9 +142,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(line_rows(keyed(docs, id_col, text_col), min_chars))  # ranges are drawn and dealt from what is stored
     order = ["h1", "h2", F.col("id").desc()]
     lined = rows.repartitionByRange(width_for(spark, rows.count(), RANGE_ROWS), *order).sortWithinPartitions(*order, "place")
-    found = cut(lined.mapInArrow(_stream(min_docs), f"open boolean, part int, {_ROW}"))
+    found = cut(lined.mapInArrow(_stream(min_docs), f"open boolean, new boolean, part int, {_ROW}"))
     left_open = found.where("open")
-    ends = left_open.groupBy("part", "h1", "h2").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("top"), F.min("id").alias("low"))
+    ends = left_open.groupBy("part", "h1", "h2").agg(F.count_if("new").alias("docs"), F.max("id").alias("top"), F.min("id").alias("low"))
     by_key = W.partitionBy("h1", "h2")  # a row a partition that the key reaches
     goes_on = F.coalesce(F.lag("low").over(by_key.orderBy("part")) == F.col("top"), F.lit(False)).cast("int")  # one document in two partitions
     known = ends.withColumn("docs", F.col("docs") - goes_on).select("part", "h1", "h2", F.sum("docs").over(by_key).alias("docs"), F.max("top").over(by_key).alias("top"))
