@@ -199,13 +199,13 @@ def leaks_brute(rows, items, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("longs", [decontaminate.MASK_LONGS, 1])
-def test_decontamination(spark, monkeypatch, longs):
+@pytest.mark.parametrize("places", [decontaminate.MASK_PLACES, 64])
+def test_decontamination(spark, monkeypatch, places):
     """A bitmap that is full marks words in vain, and no more."""
     rows = texts()
     items = [(1, rows[13][1].split("\n")[1]), (2, "Changed"), (10, "short item"), (3, None), (4, "!!"), (2, rows[0][1]), (None, rows[3][1]), (9, " ".join(rows[1][1].split()[:12]) + " and words that nobody has"), (11, "lora " * 14)]
     bench = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, w string, n int")
-    monkeypatch.setattr(decontaminate, "MASK_LONGS", longs)
+    monkeypatch.setattr(decontaminate, "MASK_PLACES", places)
     got = decontaminate.digests(decontaminate.hits(frame(spark, rows), bench))
     assert found(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == leaks_brute(rows, items, 10)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ An item is cut into windows of `window` words; an item of fewer words is one win
 it holds the window's rarest word, so for exact containment a prefix of one token is enough: words are ordered by the
 number of documents that have them, and each window is indexed by its rarest word and that word's place.
 
-1. Tokens of the index are marked in a bitmap of a fixed size, which is broadcast. Words of documents that miss it end
+1. Tokens of the index are marked in a bitmap of bounded size, which is broadcast. Words of documents that miss it end
    there; the others take their neighbours along.
 2. They meet the index's shapes, (token, place, words in the window): a token has few of them, however many windows.
    Bounds on place and length drop shapes that would begin before or end after the text.
@@ -28,8 +28,8 @@ from textloom.llm.rules import let
 from textloom.session import cut
 
 WINDOW = 10
-#: Numbers of 64 bits in a bitmap of tokens: half a megabyte.
-MASK_LONGS = 1 << 16
+#: Of a bitmap of tokens: places for each of them, and places at most, a byte each.
+PLACES_EACH, MASK_PLACES = 16, 1 << 19
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,25 +37,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_az(F.coalesce(text.cast("string"), F.lit(""))), _BETWEEN), lambda w: w != "")
 
 
-def _places(token: Column) -> tuple[Column, Column]:
-    """The two bits of a token in a bitmap."""
-    h = F.xxhash64(token)
-    return tuple(F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(64 * MASK_LONGS - 1)) for shift in (0, 32))
+def _places(token: Column, places: int) -> tuple[Column, Column]:
+    h, last = F.xxhash64(token), F.lit(places - 1).cast("long")
+    return h.bitwiseAND(last).cast("int"), F.shiftright(h, 32).bitwiseAND(last).cast("int")
 
 
-def bitmap(tokens: DataFrame) -> DataFrame:
-    """mask array<long>: one row, of a fixed size, that has the bits of all tokens set."""
-    bit = tokens.select(F.explode(F.array(*_places(F.col("token")))).alias("p"))
-    longs = bit.groupBy(F.shiftrightunsigned("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x"))
-    every = tokens.sparkSession.range(MASK_LONGS).select(F.col("id").alias("i")).join(longs, "i", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", F.lit(0).cast("long")).alias("x"))))
-    return every.agg(F.transform(ordered, lambda s: s["x"]).alias("mask"))
+def bitmap(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(mask array<boolean>, its places): one row that is true at two places for each token. tokens: distinct, and cheap to read twice.
+
+    It has PLACES_EACH places a token, and at most MASK_PLACES: with more tokens it marks more words in vain.
+    """
+    places, wanted = 64, min(MASK_PLACES, PLACES_EACH * tokens.count())
+    while places < wanted:
+        places *= 2
+    taken = tokens.select(F.explode(F.array(*_places(F.col("token"), places))).alias("i")).distinct().withColumn("x", F.lit(True))
+    every = tokens.sparkSession.range(places).select(F.col("id").cast("int").alias("i")).join(taken, "i", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", F.lit(False)).alias("x"))))
+    return every.agg(F.transform(ordered, lambda s: s["x"]).alias("mask")), places
 
 
-def _marked(token: Column, mask: Column) -> Column:
-    """Whether both bits are set; true for a few other words too."""
-    a, b = (F.getbit(F.get(mask, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) for p in _places(token))
-    return (a == 1) & (b == 1)
+def _marked(token: Column, mask: Column, places: int) -> Column:
+    """Whether both places are true; they are for a few other words too."""
+    first, second = (F.get(mask, p) for p in _places(token, places))
+    return first & second
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -68,8 +72,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
 
 def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """token, n: in how many documents each token of the vocabulary is; those in none are absent. docs: rows of keyed()."""
-    masked = docs.select("__text").crossJoin(F.broadcast(bitmap(vocabulary)))  # one row of a fixed size
-    own = masked.select(F.explode(F.filter(F.array_distinct(words(F.col("__text"))), lambda w: _marked(w, F.col("mask")))).alias("token"))
+    mask, places = bitmap(vocabulary)
+    masked = docs.select("__text").crossJoin(F.broadcast(mask))  # one row of a bounded size
+    own = masked.select(F.explode(F.filter(F.array_distinct(words(F.col("__text"))), lambda w: _marked(w, F.col("mask"), places))).alias("token"))
     return own.groupBy("token").agg(F.count("*").alias("n")).join(vocabulary, "token", "left_semi")
 
 
@@ -88,19 +93,20 @@ def candidates(docs: DataFrame, tokens: DataFrame, window: int) -> DataFrame:
 
     __id, __th, n (words), token, i (its place), before (words of near that come before it), near (its neighbours, itself included).
     """
+    mask, places = bitmap(tokens)
 
     def spots(ws: Column) -> Column:
         n = F.size(ws)
-        marked = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("token"), i.alias("i"))), lambda x: _marked(x["token"], F.col("mask")))
+        found = F.filter(F.transform(ws, lambda w, i: F.when(_marked(w, F.col("mask"), places), i)), lambda i: i.isNotNull())
 
-        def around(x: Column) -> Column:
-            before = F.least(x["i"], F.lit(window - 1))
-            return F.struct(x["token"].alias("token"), x["i"].alias("i"), before.alias("before"), F.slice(ws, x["i"] - before + 1, F.lit(2 * window - 1)).alias("near"), n.alias("n"))
+        def around(i: Column) -> Column:
+            before = F.least(i, F.lit(window - 1))
+            return F.struct(F.get(ws, i).alias("token"), i.alias("i"), before.alias("before"), F.slice(ws, i - before + 1, F.lit(2 * window - 1)).alias("near"), n.alias("n"))
 
         none = F.struct(F.lit(None).cast("string").alias("token"), F.lit(-1).alias("i"), F.lit(0).alias("before"), F.array().cast("array<string>").alias("near"), n.alias("n"))
-        return F.concat(F.array(none), F.transform(marked, around))  # the first is the document's own row
+        return F.concat(F.array(none), F.transform(found, around))  # the first is the document's own row
 
-    masked = docs.crossJoin(F.broadcast(bitmap(tokens)))  # one row of a fixed size
+    masked = docs.crossJoin(F.broadcast(mask))  # one row of a bounded size
     return masked.select("__id", "__th", F.explode(let(words(F.col("__text")), spots)).alias("x")).select("__id", "__th", "x.*")
 
 
@@ -108,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     """doc_id, __id, __th, n_words long, spans array<struct<start,end>> (occurrences of windows, sorted), items array<string> (sorted)."""
     held = keyed(docs, id_col, text_col)
     found = cut(index(held, cut(item_windows(benchmark, window, item_col, item_text))))
-    rows = cut(candidates(held, found.select("token").distinct(), window))
+    rows = cut(candidates(held, cut(found.select("token").distinct()), window))
     shaped = spread_join(rows.where("i >= 0"), found.select("token", "at", "size").distinct(), "token", "inner")
     start = F.col("i") - F.col("at")
     fits = shaped.where((F.col("at") <= F.col("before")) & (start + F.col("size") <= F.col("n")))
