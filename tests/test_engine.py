@@ -57,7 +57,13 @@ def test_reports(report, fmt):
     if fmt in ("json", "sarif", "badge"):
         data = json.loads(text)
         if fmt == "sarif":
-            assert all(p["physicalLocation"]["region"]["startLine"] >= 1 for r in data["runs"][0]["results"] for p in r.get("locations", []))
+            run = data["runs"][0]
+            assert {r["id"] for r in run["tool"]["driver"]["rules"]} >= {f"CTX{i:03}" for i in range(1, 11)}
+            places = [p["physicalLocation"] for r in run["results"] for p in r.get("locations", [])]
+            assert all(p["region"]["startLine"] >= 1 for p in places if "region" in p) and any("region" not in p for p in places)
+            assert all(r["message"]["text"].endswith(f.recommendation) for r, f in zip(run["results"], report.findings))
+        if fmt == "json":
+            assert {f["rule"] for f in data["findings"]} == {f.rule_id for f in report.findings}
     if fmt == "html":
         assert "<script" not in text
 
@@ -70,6 +76,8 @@ def test_unknown_format(report):
 def test_baseline(spark, folder, report, tmp_path):
     path = tmp_path / "b.json"
     assert save_baseline(report, path) == len({fingerprint(f) for f in report.findings})
+    stored = json.loads(path.read_text())
+    assert (stored["tool"], stored["generated_at"], stored["count"]) == ("textloom", report.generated_at, len(stored["fingerprints"]))
     with pytest.warns(UserWarning):
         again = analyze_path(folder, baseline=load_baseline(path), spark=spark)
     assert again.findings == [] and again.health_score == 100 and again.baseline_suppressed == len(report.findings)

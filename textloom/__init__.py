@@ -8,7 +8,8 @@ def __getattr__(name: str):
     import importlib
 
     homes = {
-        "textloom.models": ("AnalyzerResult", "Chunk", "Document", "Finding", "Location", "Report", "Severity"),
+        "textloom.models": ("Chunk", "Document", "Finding", "Location", "Report", "Severity"),
+        "textloom.plans.analyzers": ("AnalyzerResult",),
         "textloom.config": ("Config",),
         "textloom.engine": ("analyze_chunks", "analyze_path", "analyze_paths"),
         "textloom.scoring": ("compute_health",),

@@ -21,7 +21,7 @@ def collect_fingerprints(report: Report) -> list[str]:
 def save_baseline(report: Report, path: str | Path) -> int:
     """Writes the fingerprints; gives how many there are."""
     known = collect_fingerprints(report)
-    Path(path).write_text(json.dumps({"version": 1, "fingerprints": known}, indent=2) + "\n", encoding="utf-8")
+    Path(path).write_text(json.dumps({"tool": "textloom", "version": 1, "generated_at": report.generated_at, "count": len(known), "fingerprints": known}, indent=2) + "\n", encoding="utf-8")
     return len(known)
 
 

@@ -45,7 +45,7 @@ def assemble(root: str, documents: DataFrame, chunks: DataFrame, config: Config,
     health = compute_health(found)
     report = Report(
         root=root, generated_at=datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), files_analyzed=documents.count(), total_chunks=ctx.n_chunks(),
-        health_score=health.score, health_grade=health.grade, health_label=health.label, baseline_suppressed=suppressed,
+        health=health, baseline_suppressed=suppressed,
         findings=found, metrics={a.name: o.metrics for a, o in zip(analyzers, outputs)}, config=config.to_dict(),
     )
     chunks.unpersist()
@@ -78,7 +78,7 @@ def analyze_chunks(chunks: Iterable[object] | DataFrame, config: Config | None =
 
 
 def worst_severity(report: Report) -> Severity | None:
-    return max((f.severity for f in report.findings), key=lambda s: s.rank, default=None)
+    return report.worst()
 
 
 def compare(before: Report, after: Report) -> dict:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 
 from textloom import __version__
-from textloom.models import Finding, Report
-from textloom.rules import get_rule
+from textloom.models import Finding, Location, Report
+from textloom.rules import Rule, all_rules, get_rule
 
+#: Where reports say that the tool is at home.
+HOME = "https://textloom.example/"
 _LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 
 
 def finding_to_dict(f: Finding) -> dict:
     rule = get_rule(f.rule_id)
     places = [{"file": x.file, "chunk_id": x.chunk_id, "line": x.line, "detail": x.detail} for x in f.locations]
-    return {"rule_id": f.rule_id, "name": rule.name, "category": rule.category, "severity": f.severity.value, "message": f.message, "recommendation": f.recommendation, "experimental": f.experimental, "locations": places, "data": f.data}
+    return {"rule": f.rule_id, "name": rule.name, "category": rule.category, "severity": f.severity.value, "message": f.message, "recommendation": f.recommendation, "experimental": f.experimental, "locations": places, "data": f.data}
 
 
 def report_to_dict(report: Report) -> dict:
@@ -35,21 +37,24 @@ def render_json(report: Report) -> str:
     return json.dumps(report_to_dict(report), indent=2, ensure_ascii=False)
 
 
-def _sarif_rule(rule_id: str) -> dict:
-    rule = get_rule(rule_id)
+def _sarif_rule(rule: Rule) -> dict:
     return {
-        "id": rule.id, "name": rule.name, "shortDescription": {"text": rule.description or rule.name}, "help": {"text": rule.recommendation or rule.name},
-        "defaultConfiguration": {"level": _LEVELS[rule.default_severity.value]}, "properties": {"category": rule.category, "experimental": rule.experimental},
+        "id": rule.id, "name": rule.name, "shortDescription": {"text": rule.description}, "fullDescription": {"text": rule.recommendation}, "helpUri": f"{HOME}#rules",
+        "properties": {"category": rule.category, "experimental": rule.experimental}, "defaultConfiguration": {"level": _LEVELS[rule.default_severity.value]},
     }
 
 
+def _sarif_place(x: Location) -> dict:
+    region = {} if x.line is None else {"region": {"startLine": max(1, x.line)}}
+    return {"physicalLocation": {"artifactLocation": {"uri": x.file}, **region}}
+
+
 def _sarif_result(f: Finding) -> dict:
-    places = [{"physicalLocation": {"artifactLocation": {"uri": x.file}, "region": {"startLine": max(1, x.line or 1)}}} for x in f.locations]
-    return {"ruleId": f.rule_id, "level": _LEVELS[f.severity.value], "message": {"text": f.message}} | ({"locations": places} if places else {})
+    places = {"locations": [*map(_sarif_place, f.locations)]} if f.locations else {}
+    return {"ruleId": f.rule_id, "level": _LEVELS[f.severity.value], "message": {"text": f"{f.message} {f.recommendation}"}, **places}
 
 
 def render_sarif(report: Report) -> str:
-    ids = sorted({f.rule_id for f in report.findings})
-    driver = {"name": "textloom", "version": __version__, "rules": [_sarif_rule(i) for i in ids]}
-    run = {"tool": {"driver": driver}, "results": [_sarif_result(f) for f in report.findings], "properties": {"healthScore": report.health_score, "healthGrade": report.health_grade}}
+    driver = {"name": "textloom", "informationUri": HOME, "version": __version__, "rules": [*map(_sarif_rule, all_rules())]}
+    run = {"tool": {"driver": driver}, "results": [*map(_sarif_result, report.findings)], "properties": {"healthScore": report.health_score, "healthGrade": report.health_grade}}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)

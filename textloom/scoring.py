@@ -4,20 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed import GRADES, SCORE_DECAY, SEVERITY_WEIGHTS
-from textloom.models import Finding
-
-
-@dataclass(frozen=True)
-class HealthScore:
-    score: int
-    grade: str
-    label: str
+from textloom.models import Finding, HealthScore
 
 
 def grade(score: int) -> HealthScore:
