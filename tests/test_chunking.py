@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from textloom.operators.chunking import chunk_documents, indexed, pieces
+from textloom.operators.chunking import chunk_documents, indexed, piece_counts, pieces
 from textloom.sources.frames import documents_frame
 
 FENCE = "`" * 3
@@ -101,3 +101,18 @@ def test_index_is_dense_whatever_the_partitions(spark):
     docs = documents_frame(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     got = indexed(chunk_documents(docs, 100, 10)).orderBy("doc_key", "doc_index").collect()
     assert [r["index"] for r in got] == list(range(len(got)))
+    counts = {r.doc_key: r.n for r in piece_counts(docs, 100, 10).collect()}
+    assert counts == {k: sum(r.doc_key == k for r in got) for k in range(40)}
+    again = indexed(chunk_documents(docs, 100, 10).select("doc_key", "doc_index"), piece_counts(docs, 100, 10))
+    assert {(r.doc_key, r.doc_index, r["index"]) for r in again.collect()} == {(r.doc_key, r.doc_index, r["index"]) for r in got}
+
+
+def test_index_of_null_and_repeated_keys(spark):
+    rows = [(None, "a" * 25), (2, "b" * 25), (2, "c" * 35), (None, "d"), (1, None), (3, ""), (4, "x\n\n\ny" * 9), (2, "b" * 25)]
+    docs = documents_frame(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = chunk_documents(docs, 10, 0)
+    for counts in (None, piece_counts(docs, 10, 0)):
+        got = indexed(own, counts).orderBy("index").collect()
+        assert [r["index"] for r in got] == list(range(own.count()))
+        assert [r.doc_key for r in got] == sorted((r.doc_key for r in got), key=lambda k: (k is not None, k))
+    assert indexed(own.limit(0)).count() == 0

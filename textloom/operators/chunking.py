@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import WS, estimate_tokens, line_of, word_count
-from textloom.session import ship
+from textloom.session import cut, ship
 
 _PIECES = "array<struct<text:string,char_start:int,char_end:int,overlap_chars:int>>"
 _FENCES = ("`" * 3, "~" * 3)
@@ -96,7 +96,7 @@ def chunk_documents(documents: DataFrame, chunk_size: int = 1200, chunk_overlap:
     """Chunks of documents (doc_key, path, raw), without their corpus index. Null texts give none."""
     ship(documents.sparkSession)
     cut = documents.select("doc_key", F.col("path").alias("source_file"), F.col("raw"), chunk_pieces(F.coalesce("raw", F.lit("")), chunk_size, chunk_overlap).alias("p"))
-    rows = cut.select("doc_key", "source_file", "raw", F.posexplode("p").alias("doc_index", "x"))
+    rows = cut.select("doc_key", "source_file", "raw", F.posexplode_outer("p").alias("doc_index", "x")).where("x is not null")  # outer: else Catalyst works p out again for a filter
     last = F.greatest(F.col("x.char_start"), F.col("x.char_end") - 1)
     lined = rows.select(
         F.concat_ws("#", "source_file", F.col("doc_index").cast("string")).alias("chunk_id"), "doc_key", "source_file", "doc_index", F.col("x.text").alias("text"),
@@ -112,19 +112,44 @@ def given_chunks(rows: DataFrame) -> DataFrame:
     return measured(rows.select(ids.alias("chunk_id"), "doc_key", "source_file", "doc_index", "text", none.alias("char_start"), none.alias("char_end"), none.alias("start_line"), none.alias("end_line")))
 
 
-def indexed(chunks: DataFrame) -> DataFrame:
-    """chunks with index: 0, 1, 2 ... in order of doc_key and doc_index.
+def piece_count(text: Column, chunk_size: int = 1200, chunk_overlap: int = 120) -> Column:
+    """How many pieces chunk_pieces() gives, without their texts where one block is all there is."""
+    size = max(1, chunk_size)
+    simple = plain(text)
+    others = F.size(chunk_pieces(F.when(~simple, text).otherwise(F.lit("")), chunk_size, chunk_overlap))
+    return F.when(simple, F.ceil(F.length(text) / size)).otherwise(others).cast("long")
+
+
+def piece_counts(documents: DataFrame, chunk_size: int = 1200, chunk_overlap: int = 120) -> DataFrame:
+    """doc_key, n: chunks of each key, for indexed(). Documents with a column texts that isn't null have one for each."""
+    n = piece_count(F.coalesce("raw", F.lit("")), chunk_size, chunk_overlap)
+    if "texts" in documents.columns:
+        n = F.when(F.col("pre_chunked"), F.size("texts").cast("long")).otherwise(n)
+    return documents.select("doc_key", n.alias("n")).groupBy("doc_key").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def numbered(sizes: DataFrame, key: str) -> DataFrame:
+    """key, first: the sum of n over all smaller keys. sizes: key, n, a row for each key.
+
+    Keys are dealt by ranges and stored; sums by partition are summed up in one small window, those within a partition in
+    windows of their own.
+    """
+    dealt = cut(sizes.repartitionByRange(key).select(key, "n", F.spark_partition_id().alias("part")))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over a row a partition
+    base = dealt.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(base, "part").select(key, (F.col("base") + before).alias("first"))
+
+
+def indexed(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """rows with index: 0, 1, 2 ... in order of doc_key and doc_index.
 
-    Documents are dealt by ranges of their key; the driver gets one sum a partition, and each partition numbers its own.
+    rows: one for each chunk, of any columns beside these two; the fewer and smaller they are, the less is shuffled.
+    counts: doc_key, n, where they are known for less than the rows. Nothing goes to the driver. Chunks without a key are
+    those of one document, the first; documents that repeat a key are one, with their chunks in order of doc_index and
+    then of a hash of the row.
     """
-    sizes = chunks.groupBy("doc_key").agg(F.count("*").alias("n"))
-    dealt = sizes.repartitionByRange("doc_key").withColumn("part", F.spark_partition_id()).persist()
-    sums = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    offsets, total = [], 0
-    for part, n in sums:
-        offsets.append(Row(part=part, base=total))
-        total += n
-    base = chunks.sparkSession.createDataFrame(offsets, "part int, base long")
-    before = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("doc_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    firsts = dealt.join(F.broadcast(base), "part").select("doc_key", (F.col("base") + before).alias("first"))  # base: a row a partition
-    return chunks.join(firsts, "doc_key").withColumn("index", F.col("first") + F.col("doc_index")).drop("first")
+    counts = rows.groupBy("doc_key").agg(F.count("*").alias("n")) if counts is None else counts
+    firsts = numbered(counts, "doc_key").withColumnRenamed("doc_key", "__key")
+    place = F.row_number().over(W.partitionBy("doc_key").orderBy("doc_index", F.xxhash64(*rows.columns))) - 1
+    return rows.join(firsts, F.col("doc_key").eqNullSafe(F.col("__key"))).withColumn("index", F.col("first") + place).drop("first", "__key")

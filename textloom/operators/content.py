@@ -12,7 +12,8 @@ _KEYS = ("doc_key", "index", "chunk_id", "source_file", "start_line")
 
 def _rows(chunks: DataFrame, kinds: Column) -> DataFrame:
     keys = [c for c in _KEYS if c in chunks.columns]
-    return chunks.select(*keys, F.posexplode(kinds).alias("ord", "x")).select(*keys, "ord", "x.kind", "x.n")
+    found = chunks.select(*keys, F.posexplode_outer(kinds).alias("ord", "x")).where("x is not null")  # outer: else Catalyst works kinds out again for a filter
+    return found.select(*keys, "ord", "x.kind", "x.n")
 
 
 def secrets(chunks: DataFrame) -> DataFrame:

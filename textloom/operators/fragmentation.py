@@ -9,8 +9,9 @@ from textloom.functions.entities import entity_set
 
 
 def occurrences(chunks: DataFrame) -> DataFrame:
-    """entity, index: distinct."""
-    return chunks.select("index", F.explode(entity_set(F.col("text"))).alias("entity"))
+    """entity, index: distinct. chunks: with index and text, or with index and entities."""
+    entities = F.col("entities") if "entities" in chunks.columns else entity_set(F.col("text"))
+    return chunks.select("index", F.explode_outer(entities).alias("entity")).where("entity is not null")  # outer: else Catalyst works them out again for a filter
 
 
 def entity_fragmentation(chunks: DataFrame, min_freq: int = 2, total: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ _HEADING = rf"(?d)\A(#{{1,6}})[{WS}]+(.*[^{WS}])[{WS}]*\z"
 
 def headings(documents: DataFrame) -> DataFrame:
     """doc_key, ord, offset, until, level, title: headings outside fences, and where the next one or the text ends."""
-    picked = documents.where("kind = 'markdown' and not pre_chunked").select("doc_key", F.length("raw").alias("size"), F.posexplode(F.regexp_extract_all("raw", F.lit(_LINES), F.lit(1))).alias("n", "line"))
+    picked = documents.where("kind = 'markdown' and not pre_chunked").select("doc_key", F.length("raw").alias("size"), F.posexplode_outer(F.regexp_extract_all("raw", F.lit(_LINES), F.lit(1))).alias("n", "line")).where("line is not null")
     before = W.partitionBy("doc_key").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     fence = strip(F.col("line")).rlike(r"\A(?:`{3}|~{3})")
     placed = picked.select("doc_key", "size", "n", "line", fence.alias("fence"), F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("int").alias("offset"), (F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2).alias("inside"))

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.entities import entity_set
 from textloom.functions.text import content_hash, jaccard, minhash_signature, minhash_similarity, normalize_whitespace, sentences, shingles, truncate, words
 from textloom.models import FINDINGS
 from textloom.operators import content, duplicates, fragmentation, headings, stats, tables
-from textloom.operators.chunking import chunk_documents, given_chunks, indexed
-from textloom.operators.simjoin import minhash_pairs
+from textloom.operators.chunking import chunk_documents, given_chunks, indexed, piece_counts
 from textloom.plans import oracle, postfilter
 from textloom.scoring import health
-from textloom.session import ship
+from textloom.session import cut, ship
 from textloom.sources.files import csv_column, html_column, json_column
 from textloom.sources.formats import disabled_rules
 from textloom.sources.frames import chunks_frame, documents_frame
@@ -41,13 +41,15 @@ def unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(documents(spark, sf_dir))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexed(unindexed(spark, sf_dir))
+def numbered_rows(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows made from unindexed(), one for each of its rows, with the index; the text needn't be among their columns."""
+    return indexed(rows, piece_counts(documents(spark, sf_dir)))
 
 
 @query
 def chunk_documents_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("chunk_id", "doc_key", "doc_index", "index", "char_count", "char_start", "char_end", "start_line", "end_line", F.md5("text").alias("digest"))
+    rows = unindexed(spark, sf_dir).select("chunk_id", "doc_key", "doc_index", "char_count", "char_start", "char_end", "start_line", "end_line", F.md5("text").alias("digest"))
+    return numbered_rows(spark, sf_dir, rows)
 
 
 @query
@@ -88,7 +90,8 @@ def over_token_limit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 places that a report lists."""
-    return chunks(spark, sf_dir).where(stats.undersized(200)).orderBy("index").limit(20).select("index", "chunk_id", "char_count", "start_line")
+    rows = numbered_rows(spark, sf_dir, unindexed(spark, sf_dir).select("doc_key", "doc_index", "chunk_id", "char_count", "start_line"))
+    return rows.where(stats.undersized(200)).orderBy("index").limit(20).select("index", "chunk_id", "char_count", "start_line")
 
 
 @query
@@ -96,48 +99,47 @@ def chunk_overlap_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.overlap_pct(unindexed(spark, sf_dir)).select(F.round("overlap_pct", 6).alias("overlap_pct"))
 
 
+def _fingerprinted(spark: SparkSession, sf_dir: str, size: int | None = 5) -> DataFrame:
+    return numbered_rows(spark, sf_dir, duplicates.fingerprinted(unindexed(spark, sf_dir), size))
+
+
 @query
 def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.exact_groups(chunks(spark, sf_dir))
+    return duplicates.exact_groups(_fingerprinted(spark, sf_dir, None))
 
 
 @query
 def canonical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.exact_members(chunks(spark, sf_dir)).select("first_index", "index", "chunk_id", "canonical")
-
-
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.near_pairs(chunks(spark, sf_dir).persist())
+    return duplicates.exact_members(_fingerprinted(spark, sf_dir, None)).select("first_index", "index", "chunk_id", "canonical")
 
 
 @query
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"), "n_a", "n_b")
+    return duplicates.near_pairs(cut(_fingerprinted(spark, sf_dir))).select("a", "b", F.round("similarity", 6).alias("similarity"), "n_a", "n_b")
 
 
 @query
 def top_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 pairs of chunks that a report lists."""
-    own = chunks(spark, sf_dir).persist()
-    pairs = duplicates.expanded_pairs(own, duplicates.near_pairs(own)).withColumn("similarity", F.round("similarity", 6))
-    return pairs.orderBy(F.desc("similarity"), "i", "j").limit(20)
+    own = cut(_fingerprinted(spark, sf_dir))
+    return duplicates.top_pairs(own, duplicates.near_pairs(own).withColumn("similarity", F.round("similarity", 6)), 20)
 
 
 @query
 def duplicate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = chunks(spark, sf_dir).persist()
+    own = cut(_fingerprinted(spark, sf_dir))
     m = duplicates.duplicate_metrics(own, duplicates.near_pairs(own))
     return m.select("exact_groups", "exact_duplicate_chunks", "near_pairs", F.round(100.0 * F.col("duplicated") / F.col("nonblank"), 6).alias("duplicate_pct"))
 
 
 @query
 def minhash_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_pairs(chunks(spark, sf_dir).select(F.col("index").alias("id"), "text"))
+    return duplicates.near_pairs(cut(_fingerprinted(spark, sf_dir)), mode="minhash")
 
 
 @query
 def table_boundary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.broken_boundaries(chunks(spark, sf_dir)).select("before_id", "chunk_id", "before_line", "start_line")
+    return tables.broken_boundaries(unindexed(spark, sf_dir)).select("before_id", "chunk_id", "before_line", "start_line")
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +158,7 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _markdown(spark, sf_dir)
-    own = indexed(chunk_documents(docs, 200, 0))
+    own = indexed(chunk_documents(docs, 200, 0), piece_counts(docs, 200, 0))
     spans = headings.sections(docs, own)
     return spans.groupBy("doc_key").agg(F.count("*").alias("sections"), F.sum("span").cast("long").alias("assigned"), F.max("span").cast("long").alias("longest"))
 
@@ -189,13 +191,18 @@ def placeholder_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.placeholders(marked).select("chunk_id", F.col("n").cast("long").alias("n"))
 
 
+def _entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_rows(spark, sf_dir, unindexed(spark, sf_dir).select("doc_key", "doc_index", entity_set(F.col("text")).alias("entities")))
+
+
 @query
 def entity_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragmentation.occurrences(chunks(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("chunks"), F.min("index").alias("first"), F.max("index").alias("last"))
+    return fragmentation.occurrences(_entity_rows(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("chunks"), F.min("index").alias("first"), F.max("index").alias("last"))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragmentation.entity_fragmentation(chunks(spark, sf_dir))
+    total = piece_counts(documents(spark, sf_dir)).agg(F.sum("n")).first()[0] or 0
+    return fragmentation.entity_fragmentation(_entity_rows(spark, sf_dir), total=total)
 
 
 @query

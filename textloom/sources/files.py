@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.models import DOCUMENTS
-from textloom.operators.chunking import chunk_documents, given_chunks, indexed
+from textloom.operators.chunking import chunk_documents, given_chunks, indexed, piece_counts
 from textloom.session import ship
 from textloom.sources import formats
 
@@ -67,7 +67,7 @@ def load(spark: SparkSession, paths: Iterable[str | Path], config: Config | None
         warnings.warn(f"skipped '{r.path}': {r.error}", stacklevel=2)
     good = parsed.where("error is null")
     documents = good.select(*DOCUMENTS.names)
-    return documents, indexed(document_chunks(good, config))
+    return documents, indexed(document_chunks(good, config), piece_counts(good, config.chunk_size, config.chunk_overlap))
 
 
 def document_chunks(documents: DataFrame, config: Config) -> DataFrame:
