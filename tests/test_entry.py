@@ -22,7 +22,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["chunk_size_distribution", "chunk_documents_indexed", "exact_duplicate_groups", "pii_chunks", "entity_fragmentation", "table_boundary_splits"])
+@pytest.mark.parametrize("name", ["chunk_size_distribution", "chunk_documents_indexed", "exact_duplicate_groups", "pii_chunks", "entity_fragmentation", "table_boundary_splits", "chunk_multiblock", "chunk_fences", "table_separators", "detector_kinds", "section_spans", "html_to_text_pages", "pragma_directives", "near_duplicate_pairs", "top_near_pairs", "findings_sizes", "findings_duplicates", "findings_no_duplicates", "findings_tables", "findings_headings", "findings_content", "findings_fragmentation", "findings_ordered"])
 def test_oracle(spark, name):
     import duckdb
 

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.config import Config
 from textloom.functions.entities import entity_set
 from textloom.functions.text import content_hash, jaccard, minhash_signature, minhash_similarity, normalize_whitespace, sentences, shingles, truncate, words
 from textloom.models import FINDINGS
 from textloom.operators import content, duplicates, fragmentation, headings, stats, tables
 from textloom.operators.chunking import chunk_documents, given_chunks, indexed, piece_counts
-from textloom.plans import oracle, postfilter
+from textloom.plans import analyzers, oracle, postfilter
 from textloom.scoring import health
 from textloom.session import cut, ship
-from textloom.sources.files import csv_column, html_column, json_column
-from textloom.sources.formats import disabled_rules
+from textloom.sources.files import csv_column, directive_column, html_column, json_column
 from textloom.sources.frames import chunks_frame, documents_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +155,43 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.headings(_markdown(spark, sf_dir)).select("doc_key", "ord", "level", "title")
 
 
+@query
+def chunk_multiblock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of many blocks, packed with an overlap."""
+    docs = _markdown(spark, sf_dir)
+    rows = chunk_documents(docs, 400, 40).select("chunk_id", "doc_key", "doc_index", "char_start", "char_end", "start_line", "end_line", F.md5("text").alias("digest"))
+    return indexed(rows, piece_counts(docs, 400, 40))
+
+
+def _written(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return documents_frame(spark.createDataFrame(rows, "doc_id long, text string"), kind="markdown")
+
+
+@query
+def chunk_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences, open and closed, with blank lines and tables in them; fixed texts, as the tables have none."""
+    rows = chunk_documents(_written(spark, oracle.FENCED), 40, 0)
+    return rows.select("doc_key", "doc_index", "char_start", "char_end", "text")
+
+
+@query
+def table_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whole and cut, with separators; fixed chunks, a document each."""
+    given = [(i, f"doc-{i}", k, t) for i, ts in enumerate(oracle.TABLES) for k, t in enumerate(ts)]
+    own = given_chunks(spark.createDataFrame(given, "doc_key long, source_file string, doc_index int, text string"))
+    return tables.broken_boundaries(own).select("before_id", "chunk_id")
+
+
+@query
+def detector_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind that a detector knows, in fixed texts."""
+    rows = [(i, f"doc-{i}", 0, t) for i, t in enumerate(oracle.DETECTED)]
+    own = given_chunks(spark.createDataFrame(rows, "doc_key long, source_file string, doc_index int, text string"))
+    found = [f(own).select("chunk_id", "kind", "n") for f in (content.secrets, content.pii, content.encoding_issues)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _markdown(spark, sf_dir)
@@ -267,6 +304,69 @@ def set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(after, "item_id").select("item_id", F.round(jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"), same.alias("self_similarity"))
 
 
+def _analysed(spark: SparkSession, docs: DataFrame, config: Config, *kinds: type[analyzers.Analyzer]) -> DataFrame:
+    """The findings of analyzers over documents, as the engine runs them."""
+    rows = chunk_documents(docs, config.chunk_size, config.chunk_overlap)
+    own = cut(indexed(rows, piece_counts(docs, config.chunk_size, config.chunk_overlap)))
+    context = analyzers.CorpusContext(spark, docs, own, config)
+    return analyzers.findings_table(context, [kind().analyze(context) for kind in kinds])
+
+
+def _placed(findings: DataFrame) -> DataFrame:
+    """A row for each place of each finding."""
+    rows = findings.select("rule_id", "severity", "message", F.posexplode_outer("locations").alias("ord", "x"))
+    return rows.select("rule_id", "severity", "message", "ord", "x.file", "x.chunk_id", "x.line", "x.detail")
+
+
+_SIZES = Config(max_chunk_chars=LARGE_CHARS, embedding_token_limit=LARGE_TOKENS)
+
+
+@query
+def findings_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_analysed(spark, documents(spark, sf_dir), _SIZES, analyzers.ChunkStats))
+
+
+@query
+def findings_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_analysed(spark, documents(spark, sf_dir), Config(), analyzers.Duplicates))
+
+
+@query
+def findings_no_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that don't repeat, under a threshold that any share reaches."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("text"))
+    return _placed(_analysed(spark, documents_frame(names), Config(duplicate_pct_warning=0.0), analyzers.Duplicates))
+
+
+@query
+def findings_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_analysed(spark, documents(spark, sf_dir), Config(), analyzers.Tables))
+
+
+@query
+def findings_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_analysed(spark, _markdown(spark, sf_dir), Config(chunk_size=200, chunk_overlap=0, max_chunks_per_heading=2), analyzers.Headings))
+
+
+@query
+def findings_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On documents as a decoder for another character set would have left them."""
+    docs = documents(spark, sf_dir).withColumn("raw", F.replace(F.col("raw"), F.lit("é"), F.lit("Ã©")))
+    return _placed(_analysed(spark, docs, Config(), analyzers.ContentQuality))
+
+
+@query
+def findings_fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(_analysed(spark, documents(spark, sf_dir), Config(cfi_warning_threshold=0.01), analyzers.Fragmentation))
+
+
+@query
+def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of several analyzers in the order of a report."""
+    found = _analysed(spark, documents(spark, sf_dir), _SIZES, analyzers.ChunkStats, analyzers.Tables, analyzers.ContentQuality)
+    return postfilter.positioned(found).select("position", "rule_id", "severity", "message", F.size("locations").cast("long").alias("places"))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(findings, documents): a finding for each document and rule, with directives by source."""
     docs = table(spark, sf_dir, "documents")
@@ -294,16 +394,12 @@ def pragma_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_select_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.config import Config
-
     found, _ = _found(spark, sf_dir)
     return _shown(postfilter.apply_rule_config(found, Config(select=("CTX002", "CTX007"), ignore=("CTX002",))))
 
 
 @query
 def severity_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.config import Config
-
     found, _ = _found(spark, sf_dir)
     return postfilter.severity_counts(postfilter.apply_rule_config(found, Config(severity={"CTX008": "info"})))
 
@@ -348,15 +444,9 @@ def compare_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pragma_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directives written into documents, and read from them again."""
-    ship(spark)
-
-    @F.udf("array<string>", useArrow=True)
-    def off(text: str) -> list[str]:
-        return disabled_rules(text)
-
     docs = table(spark, sf_dir, "documents")
     line = F.when(F.col("source") == "src3", F.lit("textloom: disable-all\n")).when(F.col("source") == "src7", F.lit("TEXTLOOM: disable = ctx008, CTX003;\n")).otherwise(F.lit(""))
-    return docs.select("doc_id", F.array_join(off(F.concat(line, F.col("text"))), ",").alias("disabled"))
+    return docs.select("doc_id", F.array_join(directive_column(F.concat(line, F.col("text"))), ",").alias("disabled"))
 
 
 def queries() -> dict[str, Query]:

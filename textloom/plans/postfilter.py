@@ -58,6 +58,13 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc(rank()), "rule_id", "analyzer_seq", "emit")
 
 
+def positioned(findings: DataFrame) -> DataFrame:
+    """findings with position long: 1, 2, 3 ... in the order of ordered(); for findings of one report."""
+    from pyspark.sql import Window
+
+    return findings.withColumn("position", F.row_number().over(Window.orderBy(F.desc(rank()), "rule_id", "analyzer_seq", "emit")).cast("long"))
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """severity, n: one row for each severity, zeros included."""
     names = findings.sparkSession.createDataFrame([(s.value,) for s in Severity], "severity string")

@@ -89,6 +89,15 @@ def html_column(html) -> F.Column:
     return read(html)
 
 
+def directive_column(text, keywords: tuple[str, ...] = ("textloom",)) -> F.Column:
+    """array<string>: sorted rule ids that directives in a text disable, "*" for all; the same as formats.disabled_rules()."""
+    shape = F.lit("(?i)" + formats.pragma_shape(keywords, r"[\s\x1c-\x1f\x85\xa0]"))
+    ids = F.transform(F.regexp_extract_all(text, shape, F.lit(2)), lambda x: F.split(F.upper(x), r"[,\s]+"))
+    every = F.zip_with(F.regexp_extract_all(text, shape, F.lit(1)), F.regexp_extract_all(text, shape, F.lit(2)), lambda a, b: (a != "") | (b == ""))
+    named = F.flatten(F.zip_with(ids, every, lambda x, e: F.when(e, F.array(F.lit("*"))).otherwise(F.filter(x, lambda y: y != ""))))
+    return F.array_sort(F.array_distinct(named))
+
+
 def json_column(value) -> F.Column:
     """array<string>: texts of a JSON document; null if it can't be parsed."""
     import json
