@@ -154,3 +154,33 @@ def test_cli(spark, folder, tmp_path, capsys):
         assert main(["analyze", str(folder), "-f", "json", "-o", str(out), "--fail-on", "error"]) == 1
     assert json.loads(out.read_text())["summary"]["files_analyzed"] == 7
     assert main(["rules"]) == 0 and "CTX010" in capsys.readouterr().out
+
+
+def test_a_store_that_spark_reads(spark, folder, report):
+    """The same by a path with a scheme; Spark passes over names with _ at the start."""
+    with pytest.warns(UserWarning, match="bad.json"):
+        stored = analyze_path(folder.as_uri(), spark=spark)
+    assert stored.files_analyzed == report.files_analyzed - 1
+    files = [{x.file for f in r.findings for x in f.locations} for r in (report, stored)]
+    assert files[1] <= files[0] and files[0] - files[1] <= {"_b.txt"}
+    one = analyze_path((folder / "d.csv").as_uri(), spark=spark)
+    assert (one.files_analyzed, one.total_chunks) == (1, 2)
+
+
+def test_chunks_of_documents_with_any_key(spark):
+    rows = [("b", 1, "second of b, TODO"), ("a", 0, "only of a"), ("b", 0, "first of b"), (None, 0, "of nobody"), ("c", 0, None), (None, 1, "of nobody too")]
+    df = spark.createDataFrame(rows, "doc string, pos long, text string")
+    report = analyze_chunks(df, Config(min_chunk_chars=1000), doc_col="doc", order_col="pos", spark=spark)
+    assert (report.files_analyzed, report.total_chunks) == (3, 5)
+    (small,) = report.findings
+    assert [x.chunk_id for x in small.locations] == ["chunks-#0", "chunks-#1", "chunks-a#0", "chunks-b#0", "chunks-b#1"]
+
+
+def test_findings_stay_a_table(spark):
+    from textloom.engine import analyze_corpus
+    from textloom.sources.frames import chunk_list
+
+    documents, chunks = chunk_list(spark, ["same words here", "same words here", "| a | b |\n|--|--|", "| c | d |"])
+    found = analyze_corpus("here", documents, chunks, Config())
+    report = found.report()
+    assert found.findings.count() == len(report.findings) and found.health() == compute_health(report.findings)

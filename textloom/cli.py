@@ -81,7 +81,7 @@ def _put(text: str, output: str | None) -> None:
 
 
 def _missing(paths: list[str]) -> bool:
-    absent = [p for p in paths if not Path(p).exists()]
+    absent = [p for p in paths if "://" not in p and not Path(p).exists()]
     for p in absent:
         print(f"error: no such file or folder: {p}", file=sys.stderr)
     return bool(absent)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.config import Config
-from textloom.models import Finding, Location, Report, Severity
+from textloom.models import Finding, HealthScore, Location, Report, Severity
 from textloom.plans import postfilter
 from textloom.plans.analyzers import DEFAULT_ANALYZERS, CorpusContext, findings_table
-from textloom.scoring import compute_health
+from textloom.scoring import health
+from textloom.session import cut
 from textloom.sources import files, frames
 
 
@@ -26,38 +28,56 @@ def to_findings(table: DataFrame) -> list[Finding]:
     return [Finding(r.rule_id, Severity(r.severity), r.message, r.recommendation, [Location(x.file, x.chunk_id, x.line, x.detail) for x in r.locations], r.experimental, json.loads(r.data)) for r in rows]
 
 
-def assemble(root: str, documents: DataFrame, chunks: DataFrame, config: Config, baseline: set[str] | None = None, spark: SparkSession | None = None) -> Report:
-    """Analyse a corpus: analyzers, directives, rule settings, baseline, score."""
+@dataclass
+class Analysis:
+    """What was found, as tables: a finding for each cut table and each long section can be many.
+
+    findings: columns of models.FINDINGS, after directives, rule settings and baseline, stored in the shared folder.
+    """
+
+    root: str
+    documents: DataFrame
+    findings: DataFrame
+    metrics: dict
+    config: Config
+    n_documents: int
+    n_chunks: int
+    suppressed: int = 0
+
+    def health(self) -> HealthScore:
+        """Worked out where the findings are."""
+        return HealthScore(*health(self.findings).first())
+
+    def report(self) -> Report:
+        """With all findings in it, on the driver: a report lists them."""
+        now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        return Report(self.root, now, self.n_documents, self.n_chunks, self.health(), self.suppressed, to_findings(self.findings), self.metrics, self.config.to_dict())
+
+
+def analyze_corpus(root: str, documents: DataFrame, chunks: DataFrame, config: Config, baseline: set[str] | None = None) -> Analysis:
+    """Analyse a corpus: analyzers, directives, rule settings, baseline. Nothing of it but counts and listed places goes to the driver."""
     from textloom.plugins import load_all
 
-    spark = spark or documents.sparkSession
-    chunks = chunks.persist()
-    ctx = CorpusContext(spark, documents, chunks, config)
+    ctx = CorpusContext(documents.sparkSession, documents, cut(chunks), config)
     analyzers = [cls() for cls in (*DEFAULT_ANALYZERS, *load_all(config))]
     outputs = [a.analyze(ctx) for a in analyzers]
-    table = postfilter.apply_rule_config(postfilter.apply_pragmas(findings_table(ctx, outputs), documents), config).persist()
-    suppressed = 0
-    if baseline:
-        before = table.count()
-        table = postfilter.drop_baseline(table, baseline)
-        suppressed = before - table.count()
-    found = to_findings(table)
-    health = compute_health(found)
-    report = Report(
-        root=root, generated_at=datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), files_analyzed=documents.count(), total_chunks=ctx.n_chunks(),
-        health=health, baseline_suppressed=suppressed,
-        findings=found, metrics={a.name: o.metrics for a, o in zip(analyzers, outputs)}, config=config.to_dict(),
-    )
-    chunks.unpersist()
-    return report
+    table = cut(postfilter.apply_rule_config(postfilter.apply_pragmas(findings_table(ctx, outputs), documents), config))
+    known = postfilter.drop_baseline(table, baseline) if baseline else table
+    suppressed = table.count() - known.count() if baseline else 0
+    metrics = {a.name: o.metrics for a, o in zip(analyzers, outputs)}
+    return Analysis(root, documents, known, metrics, config, documents.count(), ctx.n_chunks(), suppressed)
+
+
+def assemble(root: str, documents: DataFrame, chunks: DataFrame, config: Config, baseline: set[str] | None = None) -> Report:
+    return analyze_corpus(root, documents, chunks, config, baseline).report()
 
 
 def analyze_paths(paths: Iterable[str | Path], config: Config | None = None, *, baseline: set[str] | None = None, spark: SparkSession | None = None) -> Report:
     """Files and folders as one corpus."""
     paths, config, spark = list(paths), config or Config(), spark or session()
     documents, chunks = files.load(spark, paths, config)
-    root = Path(paths[0]).as_posix() if len(paths) == 1 else f"{len(paths)} paths"
-    return assemble(root, documents, chunks, config, baseline, spark)
+    root = str(paths[0]) if len(paths) == 1 else f"{len(paths)} paths"
+    return assemble(root, documents, chunks, config, baseline)
 
 
 def analyze_path(path: str | Path, config: Config | None = None, *, baseline: set[str] | None = None, spark: SparkSession | None = None) -> Report:
@@ -74,7 +94,7 @@ def analyze_chunks(chunks: Iterable[object] | DataFrame, config: Config | None =
         documents, own = frames.chunks_frame(rows, "__doc", "__order", text_col, source)
     else:
         documents, own = frames.chunk_list(spark, chunks, source)
-    return assemble(source, documents, own, config, None, spark)
+    return assemble(source, documents, own, config)
 
 
 def worst_severity(report: Report) -> Severity | None:

@@ -1,4 +1,9 @@
-"""Files of many formats as documents and chunks."""
+"""Files of many formats as documents and chunks.
+
+Paths of the driver's own disk are listed there, and read by tasks of a local session. Paths with a scheme (hdfs://,
+s3a://, file:// ...) are listed and read by Spark, in parallel, wherever it can read; names that begin with "_" are passed
+over there, as Spark does with them.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +18,8 @@ from pyspark.sql import functions as F
 
 from textloom.config import Config
 from textloom.models import DOCUMENTS
-from textloom.operators.chunking import chunk_documents, given_chunks, indexed, piece_counts
-from textloom.session import ship
+from textloom.operators.chunking import chunk_documents, given_chunks, indexed, numbered, piece_counts
+from textloom.session import cut, ship
 from textloom.sources import formats
 
 _PARSED = "doc_key long, path string, kind string, raw string, pre_chunked boolean, disabled_rules array<string>, texts array<string>, error string"
@@ -35,34 +40,69 @@ def discover(path: str | Path, config: Config) -> list[tuple[str, str]]:
     return [(str(p), p.relative_to(root).as_posix()) for p in found]
 
 
+def _parsed(rows: Iterable[tuple], read, keywords: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """rows: key, file, path shown and what read() makes bytes of; a file at a time."""
+    names = [c.split(" ")[0] for c in _PARSED.split(", ")]
+    for key, file, path, content in rows:
+        try:
+            kind, raw, texts, off = formats.parse(Path(file).suffix, read(content), keywords)
+            row = (key, path, kind, raw, texts is not None, off, texts, None)
+        except Exception as e:  # one unreadable file doesn't end a run
+            row = (key, path, None, None, False, [], None, f"{type(e).__name__}: {e}")
+        yield pd.DataFrame([row], columns=names)
+
+
 def parsed_files(spark: SparkSession, files: list[tuple[str, str]], keywords: tuple[str, ...]) -> DataFrame:
-    """One row a file, in the order given; files that can't be read have an error.
+    """One row a file of the local disk, in the order given; files that can't be read have an error.
 
-    Only the list of names is made on the driver: contents are read and parsed on executors, a file at a time.
+    Only the list of names is made on the driver: contents are read and parsed in tasks.
     """
     ship(spark)
-    listed = spark.createDataFrame([(i, f, shown) for i, (f, shown) in enumerate(files)], "doc_key long, file string, path string")
+    listed = spark.createDataFrame([(i, f, shown, f) for i, (f, shown) in enumerate(files)], "doc_key long, file string, path string, content string")
     width = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in _PARSED.split(", ")]
         for batch in batches:
-            for key, file, path in batch.itertuples(index=False):
-                try:
-                    kind, raw, texts, off = formats.parse(Path(file).suffix, Path(file).read_bytes(), keywords)
-                    row = (key, path, kind, raw, texts is not None, off, texts, None)
-                except Exception as e:  # one unreadable file doesn't end a run
-                    row = (key, path, None, None, False, [], None, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=names)
+            yield from _parsed(batch.itertuples(index=False), lambda f: Path(f).read_bytes(), keywords)
 
     return listed.repartition(width, "doc_key").mapInPandas(read, _PARSED)
 
 
+def parsed_store(spark: SparkSession, roots: list[str], config: Config) -> DataFrame:
+    """The same for files that Spark lists and reads: in order of roots, then of names without regard to case."""
+    ship(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    found = None
+    for i, root in enumerate(roots):
+        at = hadoop(root)
+        whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        single = F.col("path") == whole
+        shown = F.when(single, F.element_at(F.split("path", "/"), -1)).otherwise(F.substr("path", F.lit(len(whole.rstrip("/")) + 2)))
+        named = files.select(F.struct(F.lit(i).alias("root"), F.lower(shown).alias("low"), shown.alias("shown")).alias("key"), F.col("path").alias("file"), single.alias("single"), "content")
+        ends = F.lower(F.regexp_extract("key.shown", r"\.[^./]*$", 0)).isin(*[e.lower() for e in config.extensions])
+        hidden = F.exists(F.split("key.shown", "/"), lambda part: F.startswith(part, F.lit(".")))
+        part = named.where(F.col("single") | (ends & ~hidden)).drop("single")
+        found = part if found is None else found.unionByName(part)
+    firsts = numbered(found.select("key", F.lit(1).cast("long").alias("n")), "key")
+    rows = found.join(firsts, "key").select(F.col("first").alias("doc_key"), "file", F.col("key.shown").alias("path"), "content")
+    keywords = tuple(config.pragma_keywords)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from _parsed(batch.itertuples(index=False), bytes, keywords)
+
+    return rows.mapInPandas(read, _PARSED)
+
+
 def load(spark: SparkSession, paths: Iterable[str | Path], config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of files and folders as one corpus; files that can't be read are left out with a warning."""
-    config = config or Config()
-    files = [f for p in paths for f in discover(p, config)]
-    parsed = parsed_files(spark, files, tuple(config.pragma_keywords)).persist()
+    config, paths = config or Config(), [*map(str, paths)]
+    if any("://" in p for p in paths):
+        parsed = parsed_store(spark, [p if "://" in p else Path(p).resolve().as_uri() for p in paths], config)
+    else:
+        parsed = parsed_files(spark, [f for p in paths for f in discover(p, config)], tuple(config.pragma_keywords))
+    parsed = cut(parsed)  # read once
     for r in parsed.where("error is not null").select("path", "error").orderBy("path").collect():
         warnings.warn(f"skipped '{r.path}': {r.error}", stacklevel=2)
     good = parsed.where("error is null")

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.operators.chunking import given_chunks, indexed
+from textloom.operators.chunking import given_chunks, indexed, numbered
 from textloom.sources.formats import chunk_text, disabled_rules, json_texts, jsonl_texts
 
 
@@ -19,12 +20,21 @@ def documents_frame(rows: DataFrame, key: str = "doc_id", text: str = "text", ki
 
 
 def chunks_frame(rows: DataFrame, key: str, order: str, text: str = "text", name: str = "chunks") -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) of a table whose rows are chunks: a document for each key, its chunks in the order given."""
-    source = F.concat(F.lit(f"{name}-"), F.col(key).cast("string"))
-    picked = rows.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_key"), source.alias("source_file"), F.col(order).alias("__o"), F.col(text).alias("text"))
-    numbered = picked.select("doc_key", "source_file", (F.row_number().over(W.partitionBy("doc_key").orderBy("__o", "text")) - 1).cast("int").alias("doc_index"), "text")
+    """(documents, chunks) of a table whose rows are chunks: a document for each key, its chunks in the order given.
+
+    Keys of any type that can be ordered; those that are no whole numbers are numbered in their order. Rows without a key
+    are one document, those without a text are left out.
+    """
+    picked = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("__k"), F.concat(F.lit(f"{name}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("source_file"), F.col(order).alias("__o"), F.col(text).alias("text"))
+    if isinstance(rows.schema[key].dataType, T.IntegralType):
+        picked = picked.withColumn("doc_key", F.col("__k").cast("long"))
+    else:
+        firsts = numbered(picked.select("__k").distinct().withColumn("n", F.lit(1).cast("long")), "__k").select(F.col("__k").alias("__key"), F.col("first").alias("doc_key"))
+        picked = picked.join(firsts, F.col("__k").eqNullSafe(F.col("__key")))
+    numbers = F.row_number().over(W.partitionBy("doc_key").orderBy("__o", "text")) - 1
+    chunks = picked.select("doc_key", "source_file", numbers.cast("int").alias("doc_index"), "text")
     documents = picked.select("doc_key", F.col("source_file").alias("path")).distinct().select("doc_key", "path", F.lit("chunks").alias("kind"), F.lit("").alias("raw"), F.lit(True).alias("pre_chunked"), F.array().cast("array<string>").alias("disabled_rules"))
-    return documents, indexed(given_chunks(numbered))
+    return documents, indexed(given_chunks(chunks))
 
 
 def chunk_list(spark: SparkSession, items: Iterable[object], source: str = "chunks") -> tuple[DataFrame, DataFrame]:
