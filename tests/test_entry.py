@@ -39,11 +39,33 @@ def test_oracle(spark, name):
     assert got == sorted(repr([rounded(r[i]) for i in at]) for r in rel.fetchall())
 
 
-def test_imports_without_the_training_data_operators(tmp_path):
+@pytest.fixture
+def bare(tmp_path):
+    """The repository without the training-data operators."""
     import shutil
 
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     shutil.copytree(os.path.join(ROOT, "textloom"), tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; assert len(e.queries()) > 30 and 'pipeline' not in e.queries(); print('fine')"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    shutil.copytree(os.path.join(ROOT, "tests"), tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    return tmp_path
+
+
+def run(at, *args):
+    return subprocess.run([sys.executable, *args], cwd=at, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(at)})
+
+
+def test_imports_without_the_training_data_operators(bare):
+    out = run(bare, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 30 and not any(q.startswith('op') for q in e.queries()); assert 'pipeline' not in e.queries(); print('fine')")
     assert out.stdout.strip() == "fine", out.stderr
+
+
+def test_tests_of_the_rest_run_without_them(bare):
+    out = run(bare, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_chunking.py", "tests/test_detectors.py", "tests/test_text_functions.py", "tests/test_operators.py", "tests/test_streaming.py")
+    assert out.returncode == 0, out.stdout[-2000:]
+
+
+def test_a_broken_operator_is_no_absent_one(bare):
+    (bare / "textloom" / "llm").mkdir()
+    (bare / "textloom" / "llm" / "__init__.py").write_text("import nothing_of_that_name\n")
+    out = run(bare, "-c", "import __spark_entry__")
+    assert out.returncode and "nothing_of_that_name" in out.stderr
