@@ -59,6 +59,13 @@ def test_substring_dedup(spark, window, phrase):
     assert got.where(F.expr("n_removed <> aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")).count() == 0
 
 
+def test_ids_that_are_no_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for operator in (substring.removed_words, linededup.kept_lines, lambda d: decontaminate.hits(d, d.withColumnRenamed("doc_id", "item_id"))):
+        with pytest.raises(TypeError, match="whole numbers"):
+            operator(docs)
+
+
 def test_mixing_can_be_undone():
     import numpy as np
 

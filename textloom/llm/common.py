@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that end a word or a line's margin; a Java character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -23,13 +24,21 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def whole_ids(docs: DataFrame, column: str) -> DataFrame:
+    """docs, if this column has whole numbers: ids are compared, and the smallest or largest decides."""
+    kind = docs.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"ids have to be whole numbers; {column} is of type {kind.simpleString()}")
+    return docs
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id, __th, __text): ids without null, a hash of the text that tells rows of one id apart, text without null.
 
     Rows that repeat both id and text share their key, so a join on it gives each of them the same result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
+    return whole_ids(docs, id_col).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
 
 
 def public_id(column: str = "__id") -> Column:

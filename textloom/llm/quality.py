@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pieces, texts
+from textloom.llm.common import pieces, texts, whole_ids
 from textloom.session import ship
 
 BUCKETS, RANK = 1 << 16, 4
@@ -154,10 +154,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: F
     They are those with the smallest hashes of their ids; only ids are sorted for it. An id with several labels or texts
     counts once, by its largest label and its text of the smallest hash.
     """
-    ids = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    ids = whole_ids(labels, "doc_id").where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
-    held = docs.select(F.col("doc_id").cast("long").alias("__id"), text, *[F.col(c).alias(f"__d{c}") for c in docs.columns if c not in ("doc_id", "text")])
+    held = whole_ids(docs, "doc_id").select(F.col("doc_id").cast("long").alias("__id"), text, *[F.col(c).alias(f"__d{c}") for c in docs.columns if c not in ("doc_id", "text")])
     found = held.join(F.broadcast(chosen), "__id")  # at most sample rows of two numbers
     first = found.groupBy("__id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "__id"]), F.xxhash64("__text")).alias("r"))
     return first.select("__id", "r.*").select("__id", "__text", "label", *[c for c in found.columns if c.startswith("__d")])
