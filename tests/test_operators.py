@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from textloom.functions.text import hashed_shingles
 from textloom.operators import duplicates, fragmentation, headings, simjoin, stats, tables
 from textloom.operators.chunking import chunk_documents, indexed
 from textloom.sources.frames import chunk_list, documents_frame
@@ -57,10 +58,10 @@ def test_similarity_join_equals_brute_force(spark, monkeypatch):
     for k, t in ((2, 0.6), (5, 0.85), (1, 1.0)):
         sets = [sh(x, k) for x in texts]
         want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t}
-        own = items.select("id", simjoin.hashed_shingles(F.col("text"), k).alias("s"))
+        own = items.select("id", hashed_shingles(F.col("text"), k).alias("s"))
         got = [(r.a, r.b) for r in simjoin.similar_pairs(own, t).collect()]
         assert set(got) == want and len(got) == len(want)
-    own = items.select("id", simjoin.hashed_shingles(F.col("text"), 2).alias("s"))
+    own = items.select("id", hashed_shingles(F.col("text"), 2).alias("s"))
     assert {(r.a, r.b) for r in simjoin.minhash_pairs(own, 1.0).collect()} >= {(i, j) for i in range(75) for j in range(i + 1, 75) if texts[i] == texts[j]}
 
 

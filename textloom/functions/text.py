@@ -29,7 +29,8 @@ def is_blank(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return F.regexp_replace(strip(text), f"[{WS}]+", " ")
+    """Runs of white space as one space, none at the ends. Single spaces, most of them, are left as they are."""
+    return F.trim(F.regexp_replace(text, rf" ?[{WS}&&[^ ]][{WS}]*|  [{WS}]*", " "))
 
 
 def normalize_for_hash(text: Column) -> Column:
@@ -65,6 +66,16 @@ def shingles(text: Column, size: int = 5) -> Column:
     return let(words(text), cut)
 
 
+def hashed_shingles(text: Column, size: int = 5) -> Column:
+    """array<long>: the same set by 64-bit hashes of the hashes of its words; no strings are put together."""
+
+    def cut(hs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hs) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hs, i, size)))
+        return F.when(F.size(hs) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), cut)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0.0 if both are empty."""
     both = F.size(F.array_intersect(a, b))

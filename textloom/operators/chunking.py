@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import WS, estimate_tokens, line_of, word_count
+from textloom.functions.text import WS, estimate_tokens, let, word_count
 from textloom.session import cut, ship
 
-_PIECES = "array<struct<text:string,char_start:int,char_end:int,overlap_chars:int>>"
+_NAMES = ("text", "char_start", "char_end", "overlap_chars", "start_line", "end_line")
+_PIECES = "array<struct<text:string,char_start:int,char_end:int,overlap_chars:int,start_line:int,end_line:int>>"
 _FENCES = ("`" * 3, "~" * 3)
 
 
@@ -57,21 +58,40 @@ def plain(text: Column) -> Column:
     return text.rlike(f"[^{WS}]") & ~text.rlike(rf"(?:\A|\n)[{WS}&&[^\n]]*(?:\n|`{{3}}|~{{3}}|\z)")
 
 
+def lined(text: str, cut: list[tuple[str, int, int, int]]) -> Iterator[tuple]:
+    """pieces() with the lines in which they begin and end, in one pass over the text."""
+    line, at = 1, 0
+    for own, a, b, head in cut:
+        line, at = line + text.count("\n", at, a), a
+        yield own, a, b, head, line, line + text.count("\n", a, b - 1)
+
+
 def plain_pieces(text: Column, size: int, overlap: int) -> Column:
     """Pieces of a text that is one block: slices of size characters, with the end of the slice before."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    slices = F.transform(starts, lambda a: F.substr(text, a + 1, F.lit(size)))
+
+    def breaks(part: Column) -> Column:
+        return F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
 
-    def piece(a: Column) -> Column:
-        own = F.substr(text, a + 1, F.lit(size))
-        taken = F.least(F.lit(overlap), F.lit(size))
-        head = F.when((a > 0) & F.lit(overlap > 0), F.concat(F.substr(text, a - taken + 1, taken), F.lit("\n"))).otherwise(F.lit(""))
-        return F.struct(F.concat(head, own).alias("text"), a.cast("int").alias("char_start"), F.least(a + size, F.length(text)).cast("int").alias("char_end"), F.length(head).cast("int").alias("overlap_chars"))
+    def cut(own: Column) -> Column:
+        counts = F.transform(own, breaks)
 
-    return F.transform(starts, piece).cast(_PIECES)
+        def piece(k: Column, lines: Column) -> Column:
+            part, a = F.get(own, k), k * size
+            before = F.get(own, k - 1)
+            head = F.when((k > 0) & F.lit(overlap > 0), F.concat(F.right(before, F.lit(min(overlap, size))), F.lit("\n"))).otherwise(F.lit(""))
+            first = 1 + F.aggregate(F.slice(lines, F.lit(1), k), F.lit(0), lambda s, x: s + x)
+            last = first + F.get(lines, k) - F.endswith(part, F.lit("\n")).cast("int")
+            return F.struct(F.concat(head, part).alias("text"), a.alias("char_start"), (a + F.length(part)).alias("char_end"), F.length(head).alias("overlap_chars"), first.alias("start_line"), last.alias("end_line"))
+
+        return let(counts, lambda lines: F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda k: piece(k, lines)))
+
+    return let(slices, cut).cast(_PIECES)
 
 
 def chunk_pieces(text: Column, chunk_size: int = 1200, chunk_overlap: int = 120) -> Column:
-    """array<struct<text, char_start, char_end, overlap_chars>> of a text.
+    """array<struct<text, char_start, char_end, overlap_chars, start_line, end_line>> of a text.
 
     Texts of one block are sliced by expressions. Packing several blocks is a fold over lines, done for those texts only
     by an Arrow UDF, in time linear in the text.
@@ -80,8 +100,7 @@ def chunk_pieces(text: Column, chunk_size: int = 1200, chunk_overlap: int = 120)
 
     @F.pandas_udf(_PIECES)
     def packed(texts: pd.Series) -> pd.Series:
-        names = ("text", "char_start", "char_end", "overlap_chars")
-        return pd.Series([None if t is None else [dict(zip(names, p)) for p in pieces(t, size, overlap)] for t in texts])
+        return pd.Series([None if t is None else [dict(zip(_NAMES, p)) for p in lined(t, pieces(t, size, overlap))] for t in texts])
 
     simple = plain(text)
     return F.when(simple, plain_pieces(text, size, overlap)).otherwise(packed(F.when(~simple, text)))
@@ -95,14 +114,10 @@ def measured(chunks: DataFrame) -> DataFrame:
 def chunk_documents(documents: DataFrame, chunk_size: int = 1200, chunk_overlap: int = 120) -> DataFrame:
     """Chunks of documents (doc_key, path, raw), without their corpus index. Null texts give none."""
     ship(documents.sparkSession)
-    cut = documents.select("doc_key", F.col("path").alias("source_file"), F.col("raw"), chunk_pieces(F.coalesce("raw", F.lit("")), chunk_size, chunk_overlap).alias("p"))
-    rows = cut.select("doc_key", "source_file", "raw", F.posexplode_outer("p").alias("doc_index", "x")).where("x is not null")  # outer: else Catalyst works p out again for a filter
-    last = F.greatest(F.col("x.char_start"), F.col("x.char_end") - 1)
-    lined = rows.select(
-        F.concat_ws("#", "source_file", F.col("doc_index").cast("string")).alias("chunk_id"), "doc_key", "source_file", "doc_index", F.col("x.text").alias("text"),
-        F.col("x.char_start").alias("char_start"), F.col("x.char_end").alias("char_end"), line_of(F.col("raw"), F.col("x.char_start")).alias("start_line"), line_of(F.col("raw"), last).alias("end_line"),
-    )
-    return measured(lined)
+    cut = documents.select("doc_key", F.col("path").alias("source_file"), chunk_pieces(F.coalesce("raw", F.lit("")), chunk_size, chunk_overlap).alias("p"))
+    rows = cut.select("doc_key", "source_file", F.posexplode_outer("p").alias("doc_index", "x")).where("x is not null")  # outer: else Catalyst works p out again for a filter
+    ids = F.concat_ws("#", "source_file", F.col("doc_index").cast("string"))
+    return measured(rows.select(ids.alias("chunk_id"), "doc_key", "source_file", "doc_index", "x.text", "x.char_start", "x.char_end", "x.start_line", "x.end_line"))
 
 
 def given_chunks(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import shingles
+from textloom.functions.text import hashed_shingles
 
 BINS = 12
 
@@ -47,7 +47,7 @@ def over_tokens(limit: int) -> Column:
 def neighbour_overlap(chunks: DataFrame, size: int = 5) -> DataFrame:
     """doc_key, doc_index, ratio: share of a chunk's shingles that the chunk before has; chunks without shingles are left out."""
     w = W.partitionBy("doc_key").orderBy("doc_index")
-    marked = chunks.select("doc_key", "doc_index", shingles(F.col("text"), size).alias("s"))
+    marked = chunks.select("doc_key", "doc_index", hashed_shingles(F.col("text"), size).alias("s"))
     pairs = marked.select("doc_key", "doc_index", "s", F.lag("s").over(w).alias("before")).where("before is not null and size(s) > 0")
     return pairs.select("doc_key", "doc_index", (F.size(F.array_intersect("s", "before")) / F.size("s")).alias("ratio"))
 
