@@ -56,15 +56,16 @@ def hot_keys(rows: DataFrame, key: str) -> list:
     return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """rows joined with table on key. Rows of a hot key are dealt to SLICES places, and the table's rows for it repeated there.
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", also: tuple[str, ...] = ()) -> DataFrame:
+    """rows joined with table on key, and on the columns also. Rows of a hot key are dealt to SLICES places, and the table's rows for it repeated there.
 
-    rows are read for their hot keys first, so they have to be cheap to read twice.
+    rows are read for their hot keys first, so they have to be cheap to read twice, and the same each time: stored rows, or
+    what is made of them row by row. Rows of a hot key are dealt by where they are stored, as they can be equal.
     """
     hot = F.col(key).isin(hot_keys(rows, key))
-    slot = F.when(hot, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SLICES))).otherwise(F.lit(0).cast("long"))
+    slot = F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SLICES))).otherwise(F.lit(0).cast("long"))
     slots = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return rows.withColumn("__slot", slot).join(table.withColumn("__slot", F.explode(slots)), [key, "__slot"], how).drop("__slot")
+    return rows.withColumn("__slot", slot).join(table.withColumn("__slot", F.explode(slots)), [key, *also, "__slot"], how).drop("__slot")
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:

@@ -124,7 +124,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     by_doc = matched.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     own = rows.where("i < 0").select("__id", "__th", F.col("n").cast("long").alias("n_words"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    both = own.join(by_doc, ["__id", "__th"], "left")
+    both = spread_join(own, by_doc, "__th", also=("__id",))
     return both.select(public_id(), "__id", "__th", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
