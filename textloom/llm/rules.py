@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, SPACE_CHARS, lower_az
+from textloom.llm.common import SPACE, lower_az
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
@@ -53,10 +53,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
-
-
 def _doubled(step: int):
     """From hashes of runs of step words to those of twice as many."""
 
@@ -95,6 +91,8 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
     """The columns named in keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the ratios that rules use."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
+    longest = max(map(len, STOP_WORDS))
+
     def line_counts(ls: Column) -> Column:
         bare = F.transform(ls, lambda x: F.trim(x))
         return F.struct(
@@ -107,17 +105,19 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
     def word_counts(ws: Column) -> Column:
         return F.struct(
             F.size(ws).cast("long").alias("n"),
+            F.length(F.array_join(ws, "")).cast("long").alias("chars"),
             repeated_words(ws).alias("repeated"),
-            F.size(F.filter(ws, lambda w: lower_az(w).isin(*STOP_WORDS))).alias("stop"),
+            F.size(F.filter(ws, lambda w: (F.length(w) <= longest) & lower_az(w).isin(*STOP_WORDS))).alias("stop"),
             F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).alias("alpha"),
         )
 
     base = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], text.alias("__t"))
     text = F.col("__t")
     words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE_CHARS, "")) > 0)
-    counted = base.select("*", let(words, word_counts).alias("__w"), let(lines, line_counts).alias("__l"))
-    n, word_chars, symbols = F.col("__w.n"), F.length(F.translate(text, SPACE_CHARS, "")).cast("long"), _count(text, SYMBOLS)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
+    marks = F.regexp_count(text, F.lit("[" + "".join(f"\\{c}" for c in SYMBOLS) + "]")).cast("long")
+    counted = base.select("*", marks.alias("__s"), let(words, word_counts).alias("__w"), let(lines, line_counts).alias("__l"))
+    n, word_chars, symbols = F.col("__w.n"), F.col("__w.chars"), F.col("__s")
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
