@@ -128,6 +128,12 @@ def test_formats():
     assert formats.json_texts(["a", {"text": "b"}, {"text": " "}]) == ["a", "b"]
     assert formats.json_texts({"documents": [{"chunks": ["x", {"body": "y"}]}]}) == ["x", "y"]
     assert formats.json_texts({"content": "z"}) == ["z"] and formats.json_texts([[1]]) == []
+    page = "<!doctype html><HEAD><title>t</title></HEAD>\n<body>one<br/>two  \t<div>three</div>\n\n\n<ul><li>a</li><li>b &lt;c&gt;</ul><svg>no<p>no</p></svg><script>if (a < b) {}</script> end"
+    assert formats.html_to_text(page) == "one\n\ntwo\nthree\n\na\n\nb <c>\n\n end"
+    assert formats.html_to_text("") == formats.html_to_text("<script>x") == formats.html_to_text(" <p> \n</p> ") == ""
+    assert formats.html_to_text("</svg>a<template>b<template>c</template>d</template>e") == "ae"
+    assert formats.csv_texts("") == formats.csv_texts("\n , \n") == []
+    assert formats.csv_texts('a\tb\n"x\ty"\t\n', "\t") == ["a: x\ty"]
     assert formats.csv_texts("name,role\nAda,engineer,extra\n,\n") == ["name: Ada\nrole: engineer\ncol3: extra"]
     assert formats.csv_texts("only, row\n") == ["only | row"]
     assert formats.jsonl_texts('{"text":"a"}\nx\n\n{"n":1}\n') == ["a"]

@@ -77,3 +77,16 @@ def test_entities(spark):
 def test_words_and_strip_property(spark, texts):
     assert one(spark, texts, T.words(F.col("t"))) == [py_words(t) for t in texts]
     assert one(spark, texts, T.strip(F.col("t"))) == [t.strip() for t in texts]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet=st.sampled_from("aB  \u3000\x1c\x85\xa0\n\t\r\u2009."), max_size=40), min_size=1, max_size=30))
+def test_white_space_property(spark, texts):
+    assert one(spark, texts, T.normalize_whitespace(F.col("t"))) == [" ".join(t.split()) for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_hashed_shingles_are_as_many_and_as_alike(spark, size):
+    df = spark.createDataFrame([(t, u) for t in SAMPLES for u in SAMPLES], "t string, u string")
+    pairs = df.select(*[T.jaccard(f(F.col("t"), size), f(F.col("u"), size)).alias(n) for n, f in (("a", T.shingles), ("b", T.hashed_shingles))], F.size(T.shingles(F.col("t"), size)).alias("m"), F.size(T.hashed_shingles(F.col("t"), size)).alias("n"))
+    assert all(r.a == r.b and r.m == r.n for r in pairs.collect())
