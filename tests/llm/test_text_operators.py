@@ -119,6 +119,39 @@ def test_windows_are_found_by_the_automaton_alone(monkeypatch):
     assert located([text], ["g h"]).tolist() == []
 
 
+def passages() -> list[tuple[int, str]]:
+    """Every third document holds a passage of 60 words, each elsewhere; the others repeat nothing."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    return [(i, " ".join([f"w{i}x{k}" for k in range(i % 50)] + [passage] * (i % 3 == 0) + [f"v{i}x{k}" for k in range(60)])) for i in range(600)]
+
+
+ON_EXECUTORS = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from tests.llm.test_text_operators import passages
+from textloom.llm import substring
+
+folder = sys.argv[1]
+conf = {"spark.master": "local-cluster[3,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "12", "spark.sql.files.openCostInBytes": "128m"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.createDataFrame(passages(), "doc_id long, text string").repartitionByRange(12, "doc_id").write.parquet(folder + "/documents")
+substring.digests(substring.removed_words(spark.read.parquet(folder + "/documents"))).write.parquet(folder + "/result")
+spark.stop()
+"""
+
+
+def test_substring_dedup_on_several_executors(spark, tmp_path):
+    """Between executors a shuffle's blocks arrive in another order in each pass; windows have to stay those of their documents."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", ON_EXECUTORS, str(tmp_path)], cwd=Path(__file__).parents[2], check=True, timeout=300)
+    got = spark.read.parquet(str(tmp_path / "result"))
+    assert found(got, "doc_id", "n_words", "n_removed", "kept_sha256") == windows_brute(passages(), 35)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring.removed_words(frame(spark, [])).count() == 0
 

@@ -17,7 +17,8 @@ documents can hold a repeated window by: no document has to visit other shards,
 A bucket holds about BUCKET_BYTES of text, several go to a task one after another. A bucket names each item once, with a
 mark for "twice here", so a passage that every document holds puts one item a bucket into its part, and no key gathers
 rows. Rows are dealt by id, text and place, so that rows which repeat both id and text spread too; docs has to be a
-table, or another plan that gives the same rows in the same order if it is computed again.
+table, or another plan that gives the same rows in the same order if it is computed again. Steps 2 and 4 read a bucket
+from the shuffle separately and know windows by place, so both put its rows in order first.
 
 Defined results: null and empty texts have no words. Texts under one window lose nothing. A repeated row is a further
 place where its windows start, so both rows lose them. Texts are taken whole. Other columns are not read.
@@ -305,6 +306,11 @@ def _answers(replies: pa.Table, kind: int) -> dict[int, bytes]:
     return dict(zip(some["part"].to_pylist(), some["found"].to_pylist()))
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """A bucket's rows by id and text; rows that tie are equal. Between executors a shuffle's blocks arrive in any order."""
+    return rows.sort_by([(name, "ascending") for name in ("__id", "__th", "__text")])
+
+
 def _texts(rows: pa.Table) -> pa.Array:
     return rows["__text"].combine_chunks()
 
@@ -332,6 +338,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def ask_windows(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _ASK.empty_table()
+        rows = in_order(rows)
         number = rows["bucket"][0].as_py()
         bucket = Bucket(_texts(rows), window, phrase)
         starts = bucket.located(np.frombuffer(b"".join(_answers(replies, PHRASES).values()), np.uint64))
@@ -342,6 +349,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _RESULT.empty_table()
+        rows = in_order(rows)
         bucket = Bucket(_texts(rows), window, phrase)
         starts = from_runs(_answers(replies, NOTES)[int(parts[rows["bucket"][0].as_py() % width])])
         repeated = Packed(bucket.windows(starts), parts).recurring(_answers(replies, WINDOWS))
