@@ -142,6 +142,15 @@ def test_formats():
     assert pasted("one\n\n two ") == ["one", "two"] and pasted('["a", {"text": "b"}]') == ["a", "b"]
 
 
+def test_html_references_without_a_semicolon(spark):
+    from textloom.sources.files import html_column
+
+    page = "<h1>and&amp</h1>&amp;amp &#65; &#x41; &#65 &notit; &bogus; & &amp;\ue000<xmp>&amp</xmp>"
+    assert formats.html_to_text("<h1>and&amp</h1>") == "and&"  # as browsers read it
+    assert formats.html_to_text(page, closed=True) == "and&amp\n&amp A A &#65 &notit; &bogus; & &\ue000&amp"
+    assert spark.createDataFrame([(page,)], "h string").select(html_column("h", closed=True)).first()[0] == formats.html_to_text(page, closed=True)
+
+
 def test_config(tmp_path):
     (tmp_path / "pyproject.toml").write_text('[tool.textloom]\nchunk_size = 7\nselect = ["A"]\nunknown = 1\n')
     inner = tmp_path / "in"

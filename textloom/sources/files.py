@@ -119,12 +119,12 @@ def document_chunks(documents: DataFrame, config: Config) -> DataFrame:
     return cut.unionByName(given_chunks(given))
 
 
-def html_column(html) -> F.Column:
-    """Readable text of an HTML column, by the standard library's parser in Arrow batches."""
+def html_column(html, closed: bool = False) -> F.Column:
+    """Readable text of an HTML column, by the standard library's parser in Arrow batches; closed as for html_to_text()."""
 
     @F.pandas_udf("string")
     def read(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else formats.html_to_text(v))
+        return values.map(lambda v: None if v is None else formats.html_to_text(v, closed))
 
     return read(html)
 
