@@ -33,3 +33,17 @@ def test_encoding(spark):
 
 def test_placeholders(spark):
     assert [len(x) for x in run(spark, D.placeholder_terms(F.col("t")), "TODO and Lorem ipsum, wip", "method todos")] == [3, 0]
+
+
+def test_marks_spare_no_text_that_has_a_shape(spark):
+    """Each shape alone gives what it gives after a look for what any match holds."""
+    from textloom.functions.detectors import EMAIL, MARKS, PHONE, SECRETS, SSN, card_count, pii_counts, secret_labels
+    from textloom.plans.oracle import DETECTED
+
+    assert [*MARKS] == [label for label, _ in SECRETS]
+    texts = [*DETECTED, *(f"x{t}\n{t} y" for t in DETECTED), "SECRET=" + "aB3" * 9, "to\u212aen: " + "aB3" * 9, "(555)\u00a0123\u00a04567", "+1.555.123.4567", "078-05-1120x", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "a@b.co", "ghx_" + "a1B2" * 6, ""]
+    t = F.col("t")
+    alone = F.filter(F.array(*[F.when(t.rlike(p), F.lit(label)) for label, p in SECRETS]), lambda x: x.isNotNull())
+    counts = F.array(*[F.regexp_count(t, F.lit(p)).cast("int") for p in (EMAIL, SSN, PHONE)], card_count(t))
+    for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", secret_labels(t).alias("a"), alone.alias("b"), pii_counts(t).alias("c"), counts.alias("d")).collect():
+        assert r.a == r.b and [(x.kind, x.n) for x in r.c] == [(k, n) for k, n in zip(("email", "ssn", "phone", "credit_card"), r.d) if n], r.t

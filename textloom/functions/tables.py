@@ -33,4 +33,5 @@ def edges(text: Column) -> Column:
             F.when(n > 0, F.coalesce(first, no)).otherwise(no).alias("first_row"),
         )
 
-    return let(nonblank_lines(text), of)
+    none = F.struct(*[F.lit(False).alias(k) for k in ("ends", "starts", "first_row")])
+    return F.when(F.contains(text, F.lit("|")), let(nonblank_lines(text), of)).otherwise(none)  # no row is without one
