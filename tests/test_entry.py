@@ -39,6 +39,13 @@ def test_oracle(spark, name):
     assert got == sorted(repr([rounded(r[i]) for i in at]) for r in rel.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
+@pytest.mark.parametrize("name, scans", [("health_score", 0), ("pragma_filter", 1), ("baseline_antijoin", 1)])
+def test_findings_of_rules_come_from_one_pass(spark, name, scans):
+    """Their table is made before the query is put together; what is left to read is directives and sources."""
+    assert entry().queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == scans
+
+
 @pytest.fixture
 def bare(tmp_path):
     """The repository without the training-data operators."""
