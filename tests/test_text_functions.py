@@ -90,3 +90,26 @@ def test_hashed_shingles_are_as_many_and_as_alike(spark, size):
     df = spark.createDataFrame([(t, u) for t in SAMPLES for u in SAMPLES], "t string, u string")
     pairs = df.select(*[T.jaccard(f(F.col("t"), size), f(F.col("u"), size)).alias(n) for n, f in (("a", T.shingles), ("b", T.hashed_shingles))], F.size(T.shingles(F.col("t"), size)).alias("m"), F.size(T.hashed_shingles(F.col("t"), size)).alias("n"))
     assert all(r.a == r.b and r.m == r.n for r in pairs.collect())
+
+
+def test_hashed_shingles_have_the_values_of_sparks_hashes(spark):
+    texts = ["one two three four five six two three four five six", "short text", "", " .,", None, "ÀB cd_1 \u0130x ΟΔΟΣ ΟΔΟΣ' ² 漢字 a\u0307b x-y", " ".join("long" * 40 for _ in range(9)), "w " * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size in (1, 2, 5):
+        cut = lambda hs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(hs) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hs, i, size)))  # noqa: B023, E731
+        hs = F.transform(T.words(F.col("t")), lambda w: F.xxhash64(w))
+        own = F.when(F.size(hs) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(cut(hs)))
+        for r in df.select(F.sort_array(T.hashed_shingles(F.col("t"), size)).alias("a"), F.sort_array(own).alias("b"), "t").collect():
+            assert r.a == (None if r.t is None else r.b), r
+
+
+def test_fingerprints_have_the_values_of_sparks_hashes(spark):
+    from textloom.operators.duplicates import fingerprinted
+
+    texts = ["A  b\n\tc\u00a0\u3000D", " \x1c\u2028 ", "", None, "\u0130x ΟΔΟΣ ΟΔΟΣ'", "!!", "a\x85b \u200b c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "index long, text string")
+    t = F.col("text")
+    own = df.select("index", F.when(~T.is_blank(t), T.content_hash(t)).alias("h"), F.when(~T.is_blank(t), F.sort_array(T.hashed_shingles(t, 2))).alias("s"))
+    got = fingerprinted(df, 2).select("index", F.col("content_hash").alias("h"), F.sort_array("shingles").alias("s"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, own.collect()))
+    assert fingerprinted(df, None).columns == ["index", "content_hash"]
